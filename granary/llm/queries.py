@@ -12,6 +12,8 @@ from .chat_format import format_conversations, loss_text, parse_formatted
 from .common import load
 from .exact_dedup import exact_dedup
 from .poisson_mix import poisson_mix
+from .simhash import simhash_components
+from .suffix_dedup import remove_repeats
 
 #: The conversation that the formatting query adds to its table.
 PROBE_TEXT = "</s>[INST] ok [/INST]"
@@ -91,6 +93,19 @@ WHERE n_copies > 0
 """
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    found = simhash_components(docs, width=3, budget=2, n_blocks=3)
+    return found.select("doc_id", F.lpad(F.lower(F.hex(F.col("fp")[0])), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = remove_repeats(docs, depth=50)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if re.match(r"op\d+_", k)}
 
