@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable
 
@@ -11,7 +12,10 @@ from pyspark.sql import functions as F
 from .chat_format import format_conversations, loss_text, parse_formatted
 from .common import load
 from .exact_dedup import exact_dedup
+from .maxscore import search
 from .poisson_mix import poisson_mix
+from .secret_scan import scan_secrets
+from .sentencepiece_codec import encode_documents
 from .simhash import simhash_components
 from .suffix_dedup import remove_repeats
 
@@ -93,6 +97,45 @@ WHERE n_copies > 0
 """
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    return found.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+        F.sha2(joined(F.filter("spans", lambda s: s["kind"] != "markov")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+    )
+
+
+def op7_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return search(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
+
+
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(list_zip(q.e, v.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+#: Where the model file lies; a parameter of the operator.
+SENTENCEPIECE_MODEL = os.environ.get("GRANARY_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(load(spark, sf_dir, "documents").select("doc_id", "text"), SENTENCEPIECE_MODEL)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     found = simhash_components(docs, width=3, budget=2, n_blocks=3)
@@ -111,4 +154,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql for k, sql in {"op3_chat_format": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op6_poisson_mix": OP6_SQL}.items()}
+    return {k: sql for k, sql in {"op3_chat_format": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op6_poisson_mix": OP6_SQL, "op7_maxscore": OP7_SQL}.items()}
