@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from .chat_format import format_conversations, loss_text, parse_formatted
 from .common import load
 from .exact_dedup import exact_dedup
+from .html_extract import extract_pages
 from .maxscore import search
+from .ordinal_quality import grade_of, score_quality
 from .poisson_mix import poisson_mix
 from .secret_scan import scan_secrets
 from .sentencepiece_codec import encode_documents
@@ -23,6 +25,19 @@ from .suffix_dedup import remove_repeats
 PROBE_TEXT = "</s>[INST] ok [/INST]"
 
 
+def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "labels").select(F.col("doc_id").alias("rated_id"), grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
+
+
+def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_quality(docs, ratings(spark, sf_dir)).select(F.col("_row.doc_id").alias("doc_id"), "expected_grade", "tail_probability", "kept")
+
+
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(load(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.sql(f"SELECT -1L conv_id, CAST(id AS BIGINT) turn, IF(id = 0, 'user', 'assistant') role, '{PROBE_TEXT}' text FROM range(2)")

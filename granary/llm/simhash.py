@@ -28,7 +28,7 @@ from .components import connected_components
 #: Fixed value: the seed of the shingle hash.
 SEED = 42
 #: Fingerprints in one side of a task of the trie join.
-CHUNK = 2048
+CHUNK = 16384
 #: Subtree pairs of this many leaf pairs or fewer are compared directly.
 LEAVES = 4096
 
