@@ -1,7 +1,62 @@
-"""The training-data pipeline: five stages over ``documents``, each one operator of ``granary.llm``."""
-STAGES = []
+"""The training-data pipeline: five stages over ``documents``, each one operator of ``granary.llm``.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from granary.llm.common import load, materialize
+from granary.llm.exact_dedup import exact_dedup
+from granary.llm.ordinal_quality import score_quality
+from granary.llm.poisson_mix import poisson_mix
+from granary.llm.queries import MIX_SEED, SENTENCEPIECE_MODEL, ratings
+from granary.llm.sentencepiece_codec import encode_documents
+from granary.llm.simhash import simhash_components
+
+#: Near duplicates: five-word shingles; fingerprints of 256 bits, of which 42 may differ, which is where a
+#: Jaccard similarity of 0.8 lies (38.8 expected) with some allowance for recall; the first 64 bits may differ in 13.
+NEAR = {"width": 5, "n_words": 4, "budget": 13, "n_blocks": 4, "full": 42}
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return score_quality(docs, ratings(spark, sf_dir)).filter("kept").select("_row.*")
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the largest id stays."""
+    return exact_dedup(docs).filter("kept").select("_row.*")
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays; rows without an id stay."""
+    groups = simhash_components(docs, **NEAR)
+    gone = materialize(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "near")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All sources weigh the same; as many rows out as in, on average, in a global random order."""
+    return poisson_mix(docs, seed=MIX_SEED).select("_row.*")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with proof that they decode to its text."""
+    return encode_documents(docs, SENTENCEPIECE_MODEL)
+
+
+STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("mix", mix), ("tokens", tokens)]
+
+#: SQL can express neither the classifier nor the fingerprints; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's result is written to the shared folder and read again."""
+    docs = load(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
