@@ -9,8 +9,9 @@ its group is settled:
    windows moves as one record instead of one for each byte.  Runs alone in their bucket leave here.
 2. Second digit: the hash of the whole run.  Runs equal in all bytes are settled together: all but those of the smallest
    document are repeats.  Runs whose bucket holds nothing else leave here.
-3. Last digits: the few runs that share a bucket with different runs are opened, and their windows
-   are grouped by two independent 64-bit hashes of all their bytes.
+3. Last digits: the few runs that share a bucket with different runs travel once more, with their bytes, and are
+   opened where they meet; their windows are grouped by two independent 64-bit hashes of all their bytes.  Windows of
+   crowded buckets travel each on its own instead, so that no bucket grows with the input.
 
 Records of equal runs are settled within a chunk of the map task first, so a passage that a third of
 all documents share sends a few records from each chunk, not one from each document.
@@ -19,6 +20,7 @@ all documents share sends a few records from each chunk, not one from each docum
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +40,7 @@ RUNS = 1 << 19
 #: A bucket with more different runs than this within one chunk is opened at once.
 CROWDED = 64
 
+#: What a record is: a run, a crowded bucket or one of its windows, repeated windows, a run to open.
 RUN, CROWD, REPEAT, OPEN = 0, 1, 2, 3
 
 
@@ -131,7 +134,8 @@ def _merged(doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.nd
 
 # A record packs kind, first window and number of windows in one integer, which keeps the shuffle small.
 _SCHEMA = "key bigint, whole bigint, doc bigint, at bigint"
-_MARKS = "doc bigint, kind int, start bigint, size bigint"
+_OPENED = "key bigint, whole bigint, doc bigint, at bigint, content binary"
+_MARKS = "doc bigint, kind int, start bigint, size bigint, key bigint"
 
 
 def _records(kind: int, key: np.ndarray, whole: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
@@ -145,8 +149,10 @@ def _records(kind: int, key: np.ndarray, whole: np.ndarray, doc: np.ndarray, sta
     return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(doc), pa.array(at)], ["key", "whole", "doc", "at"])
 
 
-def _marks(kind: int, doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(np.full(len(doc), kind, np.int32)), pa.array(start), pa.array(size)], ["doc", "kind", "start", "size"])
+def _marks(kind: int | np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray | None = None) -> pa.RecordBatch:
+    kinds = np.broadcast_to(np.asarray(kind, np.int32), len(doc))
+    keys = np.zeros(len(doc), np.int64) if key is None else key.view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(kinds), pa.array(start), pa.array(size), pa.array(keys)], ["doc", "kind", "start", "size", "key"])
 
 
 def settle(key: np.ndarray, whole: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray, shift: int = 0) -> dict[str, np.ndarray]:
@@ -226,102 +232,123 @@ def map_runs(batches: Iterator[pa.RecordBatch], depth: int, gram: int, shift: in
     yield from flush()
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch], rows_at_once: int = 200_000) -> Iterator[list[np.ndarray]]:
-    """Columns of records sorted by key, in portions of whole buckets; only the last bucket is held between portions."""
-    waiting, rows = [], 0
+def _by_bucket(batches: Iterator[pa.RecordBatch], rows_at_once: int) -> Iterator[pa.Table]:
+    """Records sorted by key, in portions of whole buckets; only the last bucket is held between portions."""
+    waiting: list[pa.Table] = []
+    rows = 0
     for b in batches:
-        c = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-        if not len(c[0]):
+        if not b.num_rows:
             continue
-        waiting.append(c)
-        rows += len(c[0])
+        waiting.append(pa.Table.from_batches([b]))
+        rows += b.num_rows
         if rows < rows_at_once:
             continue
-        c = [np.concatenate(x) for x in zip(*waiting)]
-        cut = int(np.searchsorted(c[0], c[0][-1], side="left"))
-        waiting, rows = [[x[cut:] for x in c]], len(c[0]) - cut
+        t = pa.concat_tables(waiting)
+        key = t.column(0).to_numpy()
+        cut = int(np.searchsorted(key, key[-1], side="left"))
+        waiting, rows = [t.slice(cut)], len(key) - cut
         if cut:
-            yield [x[:cut] for x in c]
+            yield t.slice(0, cut)
     if waiting:
-        yield [np.concatenate(x) for x in zip(*waiting)]
+        yield pa.concat_tables(waiting)
+
+
+def _unpacked(t: pa.Table) -> tuple[np.ndarray, ...]:
+    """key, whole, doc, kind, start, size."""
+    key, whole, doc, at = (t.column(i).to_numpy() for i in range(4))
+    return key.view(np.uint64), whole.view(np.uint64), doc, at & 3, at >> 22, (at >> 2) & ((1 << 20) - 1)
 
 
 def reduce_runs(batches: Iterator[pa.RecordBatch], shift: int = 0) -> Iterator[pa.RecordBatch]:
-    """Second pass: records sorted by key to repeats and runs to open."""
-    for key, whole, doc, at in _by_bucket(batches):
-        kind, start, size = at & 3, at >> 22, (at >> 2) & ((1 << 20) - 1)
-        for k in (REPEAT, OPEN):
-            p = kind == k
-            yield _marks(k, doc[p], start[p], size[p])
+    """Second pass: records sorted by key to repeats and runs to open, with their bucket and whether it is crowded."""
+    for t in _by_bucket(batches, 200_000):
+        key, whole, doc, kind, start, size = _unpacked(t)
+        p = kind == REPEAT
+        yield _marks(REPEAT, doc[p], start[p], size[p])
+        p = kind == OPEN
+        yield _marks(CROWD, doc[p], start[p], size[p])
         crowd = np.unique(key[kind == CROWD])
         p = kind == RUN
         if not p.any():
             continue
-        s = settle(key[p].view(np.uint64), whole[p].view(np.uint64), doc[p], start[p], size[p], shift)
+        s = settle(key[p], whole[p], doc[p], start[p], size[p], shift)
         r = s["repeat"]
         yield _marks(REPEAT, *_merged(s["doc"][r], s["start"][r], s["size"][r]))
-        o = ~r & ((s["runs"] > 1) | np.isin(s["key"].view(np.int64), crowd))
-        yield _marks(OPEN, s["doc"][o], s["start"][o], s["size"][o])
-
-
-def map_windows(batches: Iterator[pa.RecordBatch], depth: int, gram: int, shift: int = 0) -> Iterator[pa.RecordBatch]:
-    """Third pass, in a map task: (doc, text, runs to open) to one record for each window, settled chunk by chunk."""
+        crowded = np.isin(s["key"], crowd)
+        o = ~r & ((s["runs"] > 1) | crowded)
+        yield _marks(np.where(crowded[o], CROWD, OPEN), s["doc"][o], s["start"][o], s["size"][o], s["key"][o])
+
+
+def _windows(parts: list[bytes], owner: np.ndarray, offset: np.ndarray, depth: int, gram: int) -> tuple[np.ndarray, ...]:
+    """One record for each window of the parts: two hashes of its bytes, document, first byte, 1."""
+    buf = np.frombuffer(b"".join(parts), np.uint8)
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    begin = np.cumsum(size) - size
+    count = size - depth + 1
+    which = np.repeat(np.arange(len(parts)), count)
+    at = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + begin[which]
+    key, h = _rolling(buf, depth)[at], _rolling(buf, gram)
+    # The second hash is made of substrings that cover the window.
+    whole = h[at]
+    for k in [*range(gram, depth - gram, gram), depth - gram]:
+        whole = _mix(whole * _M2 + h[at + k])
+    return key, whole, owner[which], at - begin[which] + offset[which], np.ones(len(at), np.int64)
+
+
+def map_opened(batches: Iterator[pa.RecordBatch], depth: int, gram: int, shift: int = 0) -> Iterator[pa.RecordBatch]:
+    """Third pass, in a map task: (doc, text, runs to open) to the runs with their bytes, or the windows of crowded ones."""
     held: list[tuple[np.ndarray, ...]] = []
     rows = 0
 
+    def with_content(batch: pa.RecordBatch, content: list[bytes | None]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(content, pa.binary())], [*batch.schema.names, "content"])
+
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal held, rows
         s = settle(*(np.concatenate(c) for c in zip(*held)), shift)
         held, rows = [], 0
         r = s["repeat"]
         d, a, n = _merged(s["doc"][r], s["start"][r], s["size"][r])
-        yield _records(REPEAT, _doc_key(d), np.zeros(len(d), np.uint64), d, a, n)
-        r = ~r
-        yield _records(RUN, *(s[k][r] for k in ("key", "whole", "doc", "start", "size")))
+        for batch in (_records(REPEAT, _doc_key(d), np.zeros(len(d), np.uint64), d, a, n), _records(CROWD, *(s[k][~r] for k in ("key", "whole", "doc", "start", "size")))):
+            yield with_content(batch, [None] * batch.num_rows)
 
-    def hashed(parts: list[bytes], owner: list[int], offset: list[int]) -> None:
-        nonlocal rows
-        buf = np.frombuffer(b"".join(parts), np.uint8)
-        size = np.array([len(p) for p in parts])
-        begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-        count = size - depth + 1
-        which = np.repeat(np.arange(len(parts)), count)
-        at = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + begin[which]
-        key, h = _rolling(buf, depth)[at], _rolling(buf, gram)
-        # The second hash is made of three substrings that cover the window.
-        whole = h[at] * _M1 + _mix(h[at + (depth - gram) // 2] * _M2 + h[at + depth - gram])
-        held.append((key, whole, np.array(owner, np.int64)[which], at - begin[which] + np.array(offset, np.int64)[which], np.ones(len(at), np.int64)))
-        rows += len(at)
-
-    parts, owner, offset, total = [], [], [], 0
     for b in batches:
-        texts, opened = b.column(1), b.column(2)
-        for i, doc in enumerate(b.column(0).to_pylist()):
+        docs, texts, opened = b.column(0).to_pylist(), b.column(1), b.column(2)
+        ends = np.concatenate([[0], np.cumsum(opened.value_lengths().to_numpy(zero_copy_only=False))])
+        each = opened.flatten()
+        start, size, key, kind = (each.field(k).to_numpy(zero_copy_only=False) for k in ("start", "size", "key", "kind"))
+        parts: list[bytes] = []
+        for i in range(len(docs)):
             text = texts[i].as_py()
-            for x in opened[i].as_py():
-                for at in range(x["start"], x["start"] + x["size"], PIECE):
-                    parts.append(text[at : min(at + PIECE, x["start"] + x["size"]) + depth - 1])
-                    owner.append(doc)
-                    offset.append(at)
-                    total += len(parts[-1])
-                    if total >= PIECE:
-                        hashed(parts, owner, offset)
-                        parts, owner, offset, total = [], [], [], 0
-                        if rows >= RUNS:
-                            yield from flush()
-    if parts:
-        hashed(parts, owner, offset)
+            parts += [text[x : x + n + depth - 1] for x, n in zip(start[ends[i] : ends[i + 1]].tolist(), size[ends[i] : ends[i + 1]].tolist())]
+        owner = np.repeat(np.array(docs, np.int64), np.diff(ends))
+        p = np.flatnonzero(kind == OPEN)
+        yield with_content(_records(RUN, key[p].view(np.uint64), np.zeros(len(p), np.uint64), owner[p], start[p], size[p]), [parts[i] for i in p.tolist()])
+        todo = np.flatnonzero(kind == CROWD)
+        while len(todo):
+            # As many runs at once as one piece holds, one at least.
+            some = todo[: max(1, int(np.searchsorted(np.cumsum(size[todo] + depth), PIECE)))]
+            todo = todo[len(some) :]
+            held.append(_windows([parts[i] for i in some.tolist()], owner[some], start[some], depth, gram))
+            rows += len(held[-1][0])
+            if rows >= RUNS:
+                yield from flush()
     if held:
         yield from flush()
 
 
-def reduce_windows(batches: Iterator[pa.RecordBatch], shift: int = 0) -> Iterator[pa.RecordBatch]:
-    for key, whole, doc, at in _by_bucket(batches):
-        kind, start, size = at & 3, at >> 22, (at >> 2) & ((1 << 20) - 1)
+def reduce_opened(batches: Iterator[pa.RecordBatch], depth: int, gram: int, shift: int = 0) -> Iterator[pa.RecordBatch]:
+    """Last pass: runs are opened where those of their bucket meet, and windows grouped by all their bytes."""
+    for t in _by_bucket(batches, 40_000):
+        key, whole, doc, kind, start, size = _unpacked(t)
         p = kind == REPEAT
         yield _marks(REPEAT, doc[p], start[p], size[p])
-        p = ~p
-        s = settle(key[p].view(np.uint64), whole[p].view(np.uint64), doc[p], start[p], size[p], shift)
+        p = kind == CROWD
+        found = [(key[p], whole[p], doc[p], start[p], size[p])]
+        p = np.flatnonzero(kind == RUN)
+        if len(p):
+            found.append(_windows(t.column(4).take(pa.array(p)).to_pylist(), doc[p], start[p], depth, gram))
+        s = settle(*(np.concatenate(c) for c in zip(*found)), shift)
         r = s["repeat"]
         yield _marks(REPEAT, *_merged(s["doc"][r], s["start"][r], s["size"][r]))
 
@@ -352,12 +379,14 @@ def cut_repeats(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Re
 
 
 def release(spark) -> None:
-    """Let Spark delete the shuffle files of tables that have been written and are no longer referred to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of tables that have been written: it does so when the driver collects its garbage."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 50, gram: int = 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 50, gram: int = 16) -> DataFrame:
     """``doc_id, n_bytes, spans: array<struct<start, end>>, kept: binary`` for every row.
 
     A byte goes if a ``depth``-byte string that covers it also starts in a document with a smaller id; strings are
@@ -374,13 +403,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         base = base.select(F.when(F.col("doc").isNotNull(), F.shiftleft("doc", shift).bitwiseOR(nth.cast("long"))).alias("doc"), "text")
     long = base.filter((F.length("text") >= depth) & F.col("doc").isNotNull())
 
-    runs = long.mapInArrow(lambda x: map_runs(x, depth, gram, shift), _SCHEMA)
-    marks = materialize(runs.repartition("key").sortWithinPartitions("key").mapInArrow(lambda x: reduce_runs(x, shift), _MARKS), "runs")
+    runs = long.mapInArrow(lambda x: map_runs(x, depth, gram, shift), _SCHEMA).repartition("key").sortWithinPartitions("key")
+    marks = materialize(runs.mapInArrow(lambda x: reduce_runs(x, shift), _MARKS), "runs")
+    del runs
     release(spark)
-    opened = marks.filter(F.col("kind") == OPEN).groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("runs"))
-    windows = long.join(opened, "doc").mapInArrow(lambda x: map_windows(x, depth, gram, shift), _SCHEMA)
-    more = materialize(windows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda x: reduce_windows(x, shift), _MARKS), "windows")
+    opened = marks.filter(F.col("kind") != REPEAT).groupBy("doc").agg(F.collect_list(F.struct("start", "size", "key", "kind")).alias("runs"))
+    again = long.join(opened, "doc").mapInArrow(lambda x: map_opened(x, depth, gram, shift), _OPENED).repartition("key").sortWithinPartitions("key")
+    more = materialize(again.mapInArrow(lambda x: reduce_opened(x, depth, gram, shift), _MARKS), "opened")
+    del again, opened
     release(spark)
-    found = marks.filter(F.col("kind") == REPEAT).union(more).groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("runs"))
+    found = marks.filter(F.col("kind") == REPEAT).unionByName(more).groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("runs"))
     cut = base.join(found, "doc", "left").mapInArrow(lambda x: cut_repeats(x, depth), "doc bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
     return cut.select(F.shiftright("doc", shift).alias("doc_id") if shift else F.col("doc").alias("doc_id"), "n_bytes", "spans", "kept")
