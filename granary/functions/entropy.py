@@ -60,7 +60,10 @@ def entropy(data: Column | str) -> Column:
 
 
 def entropy_of_histogram(counts: Column | str) -> Column:
-    """The same from 256 counts, in the JVM, with the terms added in the same pairwise order."""
+    """The same from 256 counts, in the JVM, with the terms added in the same pairwise order.
+
+    The counts must be a stored or aggregated column: Spark takes no Python UDF into a function of arrays.
+    """
     c = column(counts)
     bad = (F.size(c) != 256) | F.exists(c, lambda x: x.isNull() | (x < 0))
     total = F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
