@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 def differential(cases: DataFrame, case_col: str, expected: Column, got: Column) -> DataFrame:
     """``cases, passed, failures``: counts, and the first five failing cases as ``case N``."""
     judged = cases.select(F.col(case_col).alias("c"), expected.eqNullSafe(got).alias("ok"))
-    failing = judged.filter(~F.col("ok")).orderBy("c").limit(5).agg(F.array_join(F.sort_array(F.collect_list("c")), ",").alias("failures"))
-    totals = judged.agg(F.count(F.lit(1)).alias("cases"), F.count_if("ok").alias("passed"))
-    return totals.join(F.broadcast(failing)).select("cases", "passed", "failures")
+    failing = judged.filter(~F.col("ok")).orderBy("c").limit(5).select(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("p"), F.col("c").alias("f"))
+    totals = judged.agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("p")).withColumn("f", F.lit(None).cast(judged.schema["c"].dataType))
+    return totals.unionByName(failing).agg(F.sum("n").alias("cases"), F.sum("p").alias("passed"), F.array_join(F.sort_array(F.collect_list("f")), ",").alias("failures"))
 
 
 def medians(samples: DataFrame, keys: list[str], value: str) -> DataFrame:
