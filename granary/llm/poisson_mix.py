@@ -50,9 +50,10 @@ def target_rates(docs: DataFrame, source_col: str, weights: Mapping[str, float]
         pairs = [x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]
         known = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,double>")
         weighed = sizes.withColumn("_w", F.coalesce(F.try_element_at(known, F.coalesce("_source", F.lit("null"))), F.lit(0.0)))
-    all_ = weighed.agg(F.sum("_w").alias("_ws"), F.sum("_n").alias("_ns"))
-    goal = F.lit(float(total)) if total is not None else F.col("_ns").cast("double")
-    return weighed.join(F.broadcast(all_)).select("_source", F.when(F.col("_ws") > 0, goal * F.col("_w") / F.col("_ws") / F.col("_n")).otherwise(F.lit(0.0)).alias("rate"))
+    weight, rows = weighed.agg(F.sum("_w"), F.sum("_n")).first()
+    goal = float(total) if total is not None else float(rows or 0)
+    rate = F.lit(goal) * F.col("_w") / F.lit(weight) / F.col("_n") if weight else F.lit(0.0)
+    return weighed.select("_source", rate.alias("rate"))
 
 
 def poisson_mix(
