@@ -36,17 +36,22 @@ def _let(value: Column, body) -> Column:
 
 
 def words(c: Column | str) -> Column:
-    """Lower-case words between separators."""
-    return F.filter(F.split(F.lower(column(c)), SEPARATOR), lambda w: w != "")
+    """Lower-case words between separators.
+
+    Separators become spaces by table lookup first: a regular expression would test each character against all of them.
+    """
+    seps = "".join(separators())
+    return F.filter(F.split(F.translate(F.lower(column(c)), seps, " " * len(seps)), " "), lambda w: w != "")
 
 
 def _grams(units: Column, joiner: str) -> Column:
     def body(u: Column) -> Column:
         n = F.size(u)
-        three = F.array_distinct(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.array_join(F.slice(u, i + 1, 3), joiner)))
-        return F.when(n == 0, F.array().cast("array<string>")).when(n < 3, F.array(F.array_join(u, joiner))).otherwise(three)
+        # Elements are taken one by one: slice() copies the whole array on every call.
+        three = F.array_distinct(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.concat_ws(joiner, F.get(u, i), F.get(u, i + 1), F.get(u, i + 2))))
+        return F.when(u.isNull(), None).when(n == 0, F.array().cast("array<string>")).when(n < 3, F.array(F.array_join(u, joiner))).otherwise(three)
 
-    return F.when(units.isNotNull(), _let(units, body))
+    return _let(units, body)
 
 
 def word_shingles(c: Column | str) -> Column:
@@ -56,7 +61,7 @@ def word_shingles(c: Column | str) -> Column:
 
 def char_shingles(c: Column | str) -> Column:
     """The same over code points, separators left out."""
-    bare = F.regexp_replace(F.lower(column(c)), SEPARATOR, "")
+    bare = F.translate(F.lower(column(c)), "".join(separators()), "")
     return _grams(F.filter(F.split(bare, ""), lambda x: x != ""), "")
 
 
