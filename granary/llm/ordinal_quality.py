@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import boxed
 
 #: Hashed features, and words remembered by a worker.
-DIMENSIONS, REMEMBERED = 1 << 18, 300_000
+DIMENSIONS, REMEMBERED = 1 << 18, 200_000
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _RUNS = re.compile(r"(.)\1+", re.DOTALL)
 
@@ -128,12 +128,14 @@ def labelled_sample(docs: DataFrame, ratings: DataFrame, id_col: str, text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [features(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.float32()))], ["grade", "slots", "vals"])
+            for at in range(0, b.num_rows, 100):  # features take far more memory than texts
+                part = b.slice(at, 100)
+                found = [features(t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.float32())), part.column(2)], ["grade", "slots", "vals", "rated_id"])
 
     two = docs.select(F.col(f"`{id_col}`").alias("rated_id"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    own = two.join(F.broadcast(chosen), "rated_id").select("grade", "t", "rated_id").select("grade", "t")
-    got = own.mapInArrow(run, "grade int, slots array<int>, vals array<float>").orderBy("grade", F.xxhash64("slots")).toArrow()
+    own = two.join(F.broadcast(chosen), "rated_id").select("grade", "t", F.col("rated_id").cast("long").alias("rated_id"))
+    got = own.mapInArrow(run, "grade int, slots array<int>, vals array<float>, rated_id bigint").orderBy("rated_id", "grade").toArrow()
     if not got.num_rows:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
     slots, vals = got.column(1).combine_chunks(), got.column(2).combine_chunks()
