@@ -14,11 +14,13 @@ from granary.llm.ordinal_quality import score_quality
 from granary.llm.poisson_mix import poisson_mix
 from granary.llm.queries import MIX_SEED, SENTENCEPIECE_MODEL, ratings
 from granary.llm.sentencepiece_codec import encode_documents
-from granary.llm.simhash import simhash_components
+from granary.llm.simhash import similar_components, simhash_components
 
-#: Near duplicates: five-word shingles; fingerprints of 512 bits, of which 92 may differ: a Jaccard similarity of 0.8 differs
-#: in 78 on average, with a standard deviation of 8.  The first 64 bits, by which the trie is walked, may differ in 15.
-NEAR = {"width": 5, "n_words": 8, "budget": 15, "n_blocks": 4, "full": 92}
+#: Near duplicates: a Jaccard similarity of the sets of five-word shingles of at least this.
+SIMILARITY = 0.8
+#: Candidates: fingerprints of 512 bits over the same shingles, of which 105 may differ: a similarity of 0.8 differs
+#: in 78 on average, with a standard deviation of 8.  The first 64 bits, by which the trie is walked, may differ in 18.
+NEAR = {"width": 5, "n_words": 8, "budget": 18, "n_blocks": 4, "full": 105}
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +34,13 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays; rows without an id stay."""
+    """Of each group of near duplicates the document with the smallest id stays; rows without an id stay.
+
+    Fingerprints give the candidates; what links is the similarity of the shingles themselves.
+    """
     groups = simhash_components(docs, **NEAR)
-    gone = materialize(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "near")
+    roots = similar_components(docs, groups, SIMILARITY, NEAR["width"])
+    gone = materialize(roots.filter("node <> root").select(F.col("node").alias("doc_id")), "near")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -31,6 +31,8 @@ SEED = 42
 CHUNK = 16384
 #: Subtree pairs of this many leaf pairs or fewer are compared directly.
 LEAVES = 4096
+#: Shingles in one side of a task that compares whole shingle sets.
+SHINGLES = 1 << 19
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -239,3 +241,67 @@ def simhash_components(
     roots = connected_components(edges)
     best = materialize(named.join(roots, "node", "left").select("fp", F.coalesce("root", "low").alias("component_id")), "best")
     return fps.join(best, "fp").select("doc_id", "fp", "component_id")
+
+
+def jaccard_links(ids: Sequence[int], sets: Sequence[np.ndarray], least: float, sides: Sequence[bool] | None = None) -> list[tuple[int, int]]:
+    """Spanning forest of the pairs of sets whose Jaccard similarity is at least ``least`` (over 0).
+
+    Sets are sorted and distinct.  No pair is missed: similar sets are of similar size and share one of the smallest
+    elements, so many that the others can't make up the overlap (prefix filter).  With ``sides`` only pairs across the two sides are looked at.
+    """
+    forest, out = _Forest(len(ids)), []
+    found: dict[int, list[int]] = {}
+    for i in sorted(range(len(ids)), key=lambda x: len(sets[x])):
+        own, n = sets[i], len(sets[i])
+        prefix = own[: n - int(np.ceil(least * n - 1e-9)) + 1].tolist()
+        near = sorted({j for x in prefix for j in found.get(x, ()) if sides is None or sides[i] != sides[j]})
+        for j in near:
+            m = len(sets[j])
+            if m < least * n - 1e-9 or forest.root(i) == forest.root(j):
+                continue
+            common = len(np.intersect1d(own, sets[j], assume_unique=True))
+            if common / (n + m - common) >= least:
+                forest.link(i, j)
+                out.append((ids[i], ids[j]))
+        for x in prefix:
+            found.setdefault(x, []).append(i)
+    return out
+
+
+def similar_components(docs: DataFrame, groups: DataFrame, least: float, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``node, root`` for every id that is similar to another one, root being the smallest id reachable over similar pairs.
+
+    Pairs are those within a component of ``groups`` (of :func:`simhash_components`) whose sets of ``width``-word shingles have a
+    Jaccard similarity of at least ``least``, by 64-bit hashes; texts without words are similar to each other.  All pairs of a component are
+    candidates, also those that its links have not joined directly.  Large components are split into several chunks, all of whose pairs are compared.
+    """
+    known = groups.filter("doc_id IS NOT NULL AND component_id IS NOT NULL").select("doc_id", "component_id").distinct()
+    many = known.groupBy("component_id").count().filter("count > 1").select("component_id")
+    members = materialize(known.join(many, "component_id"), "members")
+    two = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("t"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, width)) for t in b.column(2).to_pylist()]
+            sets = [x if len(x) else np.zeros(1, np.uint64) for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["g", "id", "n", "h"])
+
+    sets = two.join(members, "doc_id").select("component_id", "doc_id", "t").mapInArrow(hashed, "g bigint, id bigint, n bigint, h binary")
+    sets = materialize(sets, "shingles")
+    chunks = sets.groupBy("g").agg(F.ceil(F.sum("n") / F.lit(SHINGLES)).cast("long").alias("chunks"))
+    placed = sets.join(chunks, "g").withColumn("c", F.pmod(F.xxhash64("id"), F.col("chunks")))
+    # Each pair of chunks is a task, and each chunk goes to all tasks it is in.
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    dealt = placed.select("g", "c", "id", "h", other.alias("o")).groupBy("g", F.least("c", "o").alias("c1"), F.greatest("c", "o").alias("c2"))
+    packed = dealt.agg(F.collect_list(F.struct("c", "id", "h")).alias("sets")).select("c1", "c2", "sets")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c1, c2, part in zip(*(b.column(i) for i in range(3))):
+                c, ids, hs = (part.values.field(k) for k in range(3))
+                across = c1.as_py() != c2.as_py()
+                found = jaccard_links(ids.to_pylist(), [np.frombuffer(h, np.uint64) for h in hs.to_pylist()], least, [x == c1.as_py() for x in c.to_pylist()] if across else None)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
+
+    return connected_components(materialize(packed.mapInArrow(compare, "a bigint, b bigint"), "similar"))

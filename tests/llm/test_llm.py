@@ -23,6 +23,7 @@ from granary.llm.exact_dedup import exact_dedup
 from granary.llm.maxscore import search
 from granary.llm.ordinal_quality import fit_ordinal, score_quality
 from granary.llm.poisson_mix import poisson_mix
+from granary.llm import simhash as sim
 from granary.llm.simhash import blocks_for, majority, shingle_hashes, simhash_components, trie_links
 from granary.llm.suffix_dedup import remove_repeats
 
@@ -467,3 +468,53 @@ def test_pipeline(spark):
     empty = before.limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, empty, folder).count() == 0
+
+
+@pytest.mark.parametrize("shingles", [1 << 19, 2000])
+def test_near_dedup_is_by_similarity(spark, monkeypatch, shingles):
+    """Pairs of all similarities around the limit, against brute force over words; also with components in several chunks."""
+    import corpus_pipeline as P
+
+    monkeypatch.setattr(sim, "SHINGLES", shingles)
+    rng = random.Random(8)
+    rows = []
+    for n in range(80):
+        base = [f"w{rng.randrange(5000)}" for _ in range(304)]
+        rows.append((len(rows), " ".join(base), "a"))
+        for _ in range(2):
+            # One changed word in ten breaks five of 300 shingles.
+            w = list(base)
+            for k in range(2 + n % 14):
+                w[10 + 20 * k] = f"x{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(w), "a"))
+    rows += [(None, rows[0][1], "a"), (1000, None, "a"), (1001, " ", "a"), (1002, "few words", "a"), (1003, "few  words", "a")]
+    sets = []
+    for i, t, _ in rows:
+        w = (t or "").split()
+        sets.append((i, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}))
+    up = {i: i for i, _ in sets}
+    for i, a in sets:
+        for j, b in sets:
+            if i is not None and j is not None and i < j and len(a & b) / len(a | b) >= 0.8:
+                old, new = max(up[i], up[j]), min(up[i], up[j])
+                up = {k: new if v == old else v for k, v in up.items()}
+    want = [i for i, _ in sets if up[i] == i]
+    got = [r["doc_id"] for r in P.near(spark, table(spark, rows), "").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    # There is something to confirm: the fingerprints alone join more.
+    coarse = {r["component_id"] for r in simhash_components(table(spark, rows), **P.NEAR).collect()}
+    assert len(coarse) < len(want) - 1
+
+
+def test_jaccard_links():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 30, rng.integers(1, 25)).astype(np.uint64)) for _ in range(300)]
+    for sides in (None, [i % 3 == 0 for i in range(300)]):
+        want = [(i, j) for i in range(300) for j in range(i) if (sides is None or sides[i] != sides[j]) and len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.8]
+        a, b = sim._Forest(300), sim._Forest(300)
+        for i, j in sim.jaccard_links(range(300), sets, 0.8, sides):
+            assert (max(i, j), min(i, j)) in want
+            a.link(i, j)
+        for i, j in want:
+            b.link(i, j)
+        assert [a.root(i) for i in range(300)] == [b.root(i) for i in range(300)]
