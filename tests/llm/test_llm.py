@@ -111,6 +111,12 @@ def test_wrapper_finds_template_without_roles():
 def test_deep_and_broken_html():
     deep = "<div>" * 3000 + "core" + "</div>" * 3000
     assert html_x.extract_group([deep])[0] == "core"
+    for n in (130, 20_000):
+        page = "<div id=page><article><p>Start</p>" + "<div>" * n + "A<nav>Menu</nav><p>C<p>D" + "</div>" * n + "<p>B</p></article><p>outside</p></div>"
+        assert html_x.extract_group([page]) == ["Start\n\nA\n\nC\n\nD\n\nB"]
+        assert html_x.extract_group(["<b>x " * n + "<p>end"])[0].endswith("x\n\nend")
+    a, b, c, d = (html_x.own_text(html_x.parse(x)) for x in ("<p> one <b>t</b>wo <i> </i>\nthree</p>", "<div><div>one two<u> three</u> </div></div>", "one twothree", "one three two"))
+    assert a == b and a[0] == 13 and len({b, c, d}) == 3
     assert html_x.extract_group(["<script>x", "<", "<!--", None, "</p></div>text"]) == ["", "<", "", "", "text"]
 
 
