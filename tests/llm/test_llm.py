@@ -108,6 +108,17 @@ def test_wrapper_finds_template_without_roles():
     assert html_x.extract_group([pages[0]] * 30)[29].startswith("Story number 0") or "Story number 0" in html_x.extract_group([pages[0]] * 30)[29]
 
 
+def test_copies_do_not_hide_the_template(spark):
+    rows = [(i, "http://h.example/x", f"<article><div>Same words</div><p>Story {i}</p></article>") for i in range(20)]
+    copies = [(100 + i, "http://h.example/x", rows[0][2]) for i in range(3000)]
+    kind = "page_id bigint, url string, html string"
+    few = {r["page_id"]: r["text"] for r in html_x.extract_pages(spark.createDataFrame(rows, kind)).collect()}
+    got = html_x.extract_pages(spark.createDataFrame(rows + copies + copies[:1], kind)).collect()
+    many = {r["page_id"]: r["text"] for r in got}
+    assert len(got) == 3021 and few == {i: f"Story {i}" for i in range(20)}
+    assert all(many[i] == few[i] for i in few) and all(many[i] == "Story 0" for i, _, _ in copies)
+
+
 def test_deep_and_broken_html():
     deep = "<div>" * 3000 + "core" + "</div>" * 3000
     assert html_x.extract_group([deep])[0] == "core"
