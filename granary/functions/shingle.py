@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import column
+from .text import WHITESPACE, column
 
 # The separators.  White space is the White_Space property; then punctuation and symbols.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
@@ -84,6 +84,5 @@ def shingle_digest(s: Column | str) -> Column:
 
 
 def paragraphs(c: Column | str, least: int = 40) -> Column:
-    """Stripped paragraphs between blank lines, of at least ``least`` characters."""
-    strip = r"^[\s\x1c-\x1f\x85\xa0]+|[\s\x1c-\x1f\x85\xa0]+$"
-    return F.filter(F.transform(F.split(column(c), r"\n\s*\n"), lambda p: F.regexp_replace(p, strip, "")), lambda p: F.length(p) >= least)
+    """Stripped paragraphs between blank lines, of at least ``least`` characters; white space is all that Unicode calls so."""
+    return F.filter(F.transform(F.split(column(c), rf"\n{WHITESPACE}*\n"), lambda p: F.regexp_replace(p, rf"^{WHITESPACE}+|{WHITESPACE}+$", "")), lambda p: F.length(p) >= least)

@@ -32,15 +32,19 @@ def match_rows(docs: DataFrame, id_col: str, text_col: str, patterns: DataFrame,
 
 
 def match_rows_by_join(docs: DataFrame, id_col: str, text_col: str, known: DataFrame) -> DataFrame:
-    """The join form: substrings by hash equality; ``known`` as from ``distinct_patterns``."""
+    """The join form: substrings by hash equality; ``known`` as from ``distinct_patterns``.
+
+    Both sides are compared as UTF-32, where the n-th character lies at a known byte, so cutting a text is linear in its length.
+    """
     sizes = [r[0] for r in known.select(F.length("pattern")).distinct().collect()]
     if not sizes:
         return docs.select(id_col, F.lit(0).cast("long").alias("pattern_id"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end")).limit(0)
-    t, n = F.col(text_col), F.length(text_col)
+    t, n = F.encode(text_col, "UTF-32"), F.length(text_col)
+    known = known.withColumn("pattern", F.encode("pattern", "UTF-32"))
     pieces = None
     for k in sorted(sizes):
         at = F.when(n >= k, F.sequence(F.lit(0), n - k))
-        own = docs.select(id_col, t.alias("_t"), F.explode_outer(at).alias("_at")).filter("_at IS NOT NULL").select(id_col, F.substring("_t", F.col("_at") + 1, F.lit(k)).alias("pattern"), F.col("_at").cast("long").alias("start"), (F.col("_at") + k).cast("long").alias("end"))
+        own = docs.select(id_col, t.alias("_t"), F.explode_outer(at).alias("_at")).filter("_at IS NOT NULL").select(id_col, F.substring("_t", 4 * F.col("_at") + 1, F.lit(4 * k)).alias("pattern"), F.col("_at").cast("long").alias("start"), (F.col("_at") + k).cast("long").alias("end"))
         pieces = own if pieces is None else pieces.unionByName(own)
     return pieces.join(known, "pattern").select(id_col, "pattern_id", "start", "end")
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shingle import WHITE
+from ..functions.text import char_class
 from ..sources.catalog import LOCALES
 
 SHELVES = ("ai", "security")
@@ -21,57 +25,63 @@ def is_kebab(c: Column) -> Column:
     return c.rlike(KEBAB)
 
 
-def _blank(c: Column) -> Column:
-    return F.coalesce(F.trim(c), F.lit("")) == ""
+#: White space by the White_Space property, which is what counts as blank.
+BLANK = char_class([(ord(c), ord(c)) for c in WHITE])
+
 
+def is_blank(c: Column) -> Column:
+    return F.coalesce(c, F.lit("")).rlike(f"^{BLANK}*$")
 
-def _issue(when: Column, field: Column | str, message: Column | str) -> Column:
-    field = F.lit(field) if isinstance(field, str) else field
-    message = F.lit(message) if isinstance(message, str) else message
-    return F.when(when, F.struct(field.alias("field"), message.alias("message")))
 
+def _record_rules() -> list[tuple[str, str, Column]]:
+    """(field, rule, whether a record breaks it)."""
+    c = F.col
+    texts = ("title", "description", "reference.name", "reference.language", "reference.version", "usage.rust")
+    translated = [f"translations.{l}.{n}" for l in LOCALES for n in ("title", "description")]
+    return [
+        ("name", "kebab", ~is_kebab(c("name"))),
+        ("name", "reserved", c("name").isin(*RESERVED)),
+        ("version", "semver", ~c("version").rlike(SEMVER)),
+        ("shelves", "some", F.size("shelves") == 0),
+        ("shelves", "distinct", F.size(F.array_distinct("shelves")) < F.size("shelves")),
+        ("rust.files", "some", F.size("rust.files") == 0),
+        ("benchmarks", "some", F.size("benchmarks") == 0),
+        ("usage.python", "with-python", c("python").isNotNull() & c("usage.python").isNull()),
+        ("python", "with-usage", c("python").isNull() & c("usage.python").isNotNull()),
+        ("environment", "measured", ~c("sample") & c("environment").isNull()),
+        ("verification.passed", "within-cases", c("verification.passed") > c("verification.cases")),
+        *[(f, "text", is_blank(c(f))) for f in texts],
+        *[(f, "text", c(f).isNotNull() & is_blank(c(f))) for f in translated],
+    ]
 
-def _at(prefix: str, i: Column, suffix: str = "") -> Column:
-    return F.concat(F.lit(f"{prefix}["), i.cast("string"), F.lit(f"]{suffix}"))
 
+def _element_rules() -> list[tuple[str, str, str, Callable[[Column, Column], Column]]]:
+    """(list, field of its element, rule, whether the element, with the one before it, breaks it)."""
 
-def validate(parts: DataFrame) -> DataFrame:
-    """``name, field, message``: one row for each broken rule."""
-    c = F.col
-    checks = [
-        _issue(~is_kebab(c("name")), "name", F.concat(F.lit('"'), c("name"), F.lit('" must be kebab-case (a-z, 0-9, -)'))),
-        _issue(c("name").isin(*RESERVED), "name", F.concat(F.lit('"'), c("name"), F.lit('" is reserved'))),
-        *[_issue(_blank(c(f)), f, "must not be empty") for f in ("title", "description", "reference.name", "reference.language", "reference.version", "usage.rust")],
-        *[_issue(c(f"translations.{l}.{n}").isNotNull() & _blank(c(f"translations.{l}.{n}")), f"translations.{l}.{n}", "must not be empty when set") for l in LOCALES for n in ("title", "description")],
-        _issue(~c("version").rlike(SEMVER), "version", F.concat(F.lit('"'), c("version"), F.lit('" is not a semantic version'))),
-        _issue(F.size("shelves") == 0, "shelves", "must contain at least one shelf"),
-        _issue(F.size(F.array_distinct("shelves")) != F.size("shelves"), "shelves", "must not contain duplicates"),
-        _issue(F.size("rust.files") == 0, "rust.files", "must list at least one file"),
-        _issue(c("python").isNotNull() & c("usage.python").isNull(), "usage.python", "is required when python is set"),
-        _issue(c("python").isNull() & c("usage.python").isNotNull(), "python", "is required when usage.python is set"),
-        _issue(~c("sample") & c("environment").isNull(), "environment", "is required for measured (non-sample) parts"),
-        _issue(c("verification.passed") > c("verification.cases"), "verification.passed", F.concat(c("verification.passed").cast("string"), F.lit(" must be <= cases ("), c("verification.cases").cast("string"), F.lit(")"))),
-        _issue(F.size("benchmarks") == 0, "benchmarks", "must contain at least one point"),
+    def time(ms: Column) -> Column:
+        return F.coalesce((ms <= 0) | F.isnan(ms) | (ms == float("inf")), F.lit(True))
+
+    return [
+        ("rust.files", "", "inside", lambda f, _: is_blank(f) | f.startswith("/") | F.array_contains(F.split(f, "/"), "..")),
+        ("rust.dependencies", "", "text", lambda d, _: is_blank(d["name"]) | is_blank(d["version"])),
+        ("benchmarks", ".input_size", "positive", lambda p, _: p["input_size"] == 0),
+        ("benchmarks", ".input_size", "rising", lambda p, before: p["input_size"] <= before["input_size"]),
+        ("benchmarks", ".rust_ms", "positive", lambda p, _: time(p["rust_ms"])),
+        ("benchmarks", ".reference_ms", "positive", lambda p, _: time(p["reference_ms"])),
     ]
-    files = F.transform("rust.files", lambda f, i: _issue(_blank(f) | f.startswith("/") | F.array_contains(F.split(f, "/"), ".."), _at("rust.files", i), F.concat(F.lit('"'), f, F.lit('" must be a relative path inside the repository'))))
-    deps = F.transform("rust.dependencies", lambda d, i: _issue(_blank(d["name"]) | _blank(d["version"]), _at("rust.dependencies", i), "name and version must not be empty"))
-    b = c("benchmarks")
-
-    def point(p: Column, i: Column) -> Column:
-        def bad(ms: Column) -> Column:
-            return ~((ms > 0) & ~F.isnan(ms) & (ms < float("inf")))
-
-        before = F.get(b, i - 1)["input_size"]
-        return F.array(
-            _issue(p["input_size"] == 0, _at("benchmarks", i, ".input_size"), "must be > 0 (plotted on a log axis)"),
-            _issue(bad(p["rust_ms"]), _at("benchmarks", i, ".rust_ms"), "must be a positive number"),
-            _issue(bad(p["reference_ms"]), _at("benchmarks", i, ".reference_ms"), "must be a positive number"),
-            _issue(p["input_size"] <= before, _at("benchmarks", i, ".input_size"), "benchmarks must be sorted by strictly increasing input_size"),
-        )
 
-    points = F.flatten(F.transform(b, point))
-    issues = F.filter(F.concat(F.array(*checks), files, deps, points), lambda x: x.isNotNull())
-    return parts.select("name", F.explode_outer(issues).alias("i")).filter("i IS NOT NULL").select("name", "i.field", "i.message")
+
+def validate(parts: DataFrame) -> DataFrame:
+    """``name, field, rule``: one row for each broken rule.  Elements of lists are named by their place."""
+
+    def broken(field: Column, rule: str, when: Column) -> Column:
+        return F.when(when, F.struct(field.alias("field"), F.lit(rule).alias("rule")))
+
+    found = [F.array(*[broken(F.lit(field), rule, when) for field, rule, when in _record_rules()])]
+    for each, field, rule, test in _element_rules():
+        place = lambda i: F.concat(F.lit(f"{each}["), i.cast("string"), F.lit(f"]{field}"))  # noqa: B023, E731
+        found.append(F.transform(each, lambda x, i: broken(place(i), rule, test(x, F.get(F.col(each), i - 1)))))  # noqa: B023
+    return parts.select("name", F.inline_outer(F.filter(F.concat(*found), lambda x: x.isNotNull()))).filter("field IS NOT NULL")
 
 
 def file_name_issues(parts: DataFrame) -> DataFrame:
@@ -135,14 +145,18 @@ def by_shelf(parts: DataFrame) -> DataFrame:
 
 
 def break_even(parts: DataFrame) -> DataFrame:
-    """``name, kind, input_size, first_faster``: where the component overtakes its reference, interpolated on log axes."""
-    b = F.col("benchmarks")
-    flat = parts.filter(F.size(b) > 0).select("name", F.posexplode(b).alias("i", "p")).select("name", "i", F.col("p.input_size").alias("n"), (F.col("p.rust_ms") < F.col("p.reference_ms")).alias("faster"), F.log(F.col("p.reference_ms") / F.col("p.rust_ms")).alias("l"))
+    """``name, kind, input_size, first_faster``: where the component overtakes its reference, interpolated on log axes.
+
+    A part without points counts as always faster.  Where a size or a time has no logarithm, ``input_size`` is null.
+    """
+    flat = parts.select("name", F.posexplode_outer("benchmarks").alias("i", "p")).select(
+        "name", "i", F.col("p.input_size").alias("n"), F.coalesce(F.col("p.rust_ms") < F.col("p.reference_ms"), F.lit(True)).alias("faster"), F.log(F.try_divide(F.col("p.reference_ms"), F.col("p.rust_ms"))).alias("l")
+    )
     w = Window.partitionBy("name").orderBy("i")
     pairs = flat.select("*", F.lead("n").over(w).alias("n2"), F.lead("l").over(w).alias("l2"))
     last = pairs.groupBy("name").agg(F.max(F.struct("i", "faster")).alias("end"), F.max(F.when(~F.col("faster"), F.struct("i", "n", "l", "n2", "l2"))).alias("s"))
     s = F.col("s")
-    t = F.when(s["l"] == s["l2"], F.lit(0.5)).otherwise(-s["l"] / (s["l2"] - s["l"]))
+    t = F.when(s["l"] == s["l2"], F.lit(0.5)).otherwise(F.try_divide(-s["l"], s["l2"] - s["l"]))
     size = F.exp(F.log(s["n"].cast("double")) + t * (F.log(s["n2"].cast("double")) - F.log(s["n"].cast("double"))))
     kind = F.when(s.isNull(), "always-faster").when(~F.col("end.faster"), "never-faster").otherwise("crossover")
     return last.select("name", kind.alias("kind"), F.when(kind == "crossover", size).alias("input_size"), F.when(kind == "crossover", s["n2"]).alias("first_faster"))
@@ -156,10 +170,21 @@ def localized(parts: DataFrame, locale: str) -> DataFrame:
     return parts.select("name", *[F.coalesce(F.col(f"translations.{locale}.{f}"), F.col(f)).alias(f) for f in ("title", "description")])
 
 
+def has_proper_name(name: Column) -> Column:
+    return is_kebab(name) & ~name.isin(*RESERVED) & (F.length(name) <= NAME_LENGTH)
+
+
 def listing(parts: DataFrame) -> DataFrame:
-    """What a list command prints: parts with proper names."""
-    named = parts.filter(is_kebab(F.col("name")) & ~F.col("name").isin(*RESERVED) & (F.length("name") <= NAME_LENGTH))
-    return named.select("name", "title", F.array_join("shelves", ",").alias("shelves"), "sample").orderBy("name")
+    """What a list command prints: parts with proper names; an error if there is none."""
+    rows = parts.filter(has_proper_name(F.col("name"))).select("name", "title", F.array_join("shelves", ",").alias("shelves"), "sample").orderBy("name")
+    if rows.isEmpty():
+        raise LookupError("the catalog has no part to list")
+    return rows
+
+
+def skipped(parts: DataFrame) -> DataFrame:
+    """Names that a list command leaves out and warns about; the reserved ones are left out silently."""
+    return parts.select("name").filter(~has_proper_name(F.col("name")) & ~F.col("name").isin(*RESERVED))
 
 
 def format_size(n: Column) -> Column:
@@ -184,26 +209,29 @@ def format_factor(f: Column) -> Column:
     return F.concat(F.when(f >= 10, F.format_string("%.0f", f)).otherwise(F.format_string("%.1f", f)), F.lit("×"))
 
 
-def path_problem(path: Column) -> Column:
-    """Why a relative path isn't safe to write to, or null."""
-    seg = F.split(path, "/")
-
-    def some(test) -> Column:
-        return F.exists(seg, test)
-
-    return (
-        F.when(path == "", "empty path")
-        .when(F.octet_length(path) > PATH_LENGTH, "path is too long")
-        .when(path.startswith("/"), "absolute paths are not allowed")
-        .when(F.contains(path, F.lit("\\")), "backslashes are not allowed")
-        .when(some(lambda s: s == ""), "empty path segment (leading, trailing or double '/')")
-        .when(some(lambda s: s.isin(".", "..")), "'.' and '..' segments are not allowed")
-        .when(some(lambda s: F.octet_length(s) > SEGMENT_LENGTH), "path segment is too long")
-        .when(some(lambda s: ~s.rlike("^[A-Za-z0-9_.-]+$")), "only ASCII letters, digits, '_', '-', '.' and '/' are allowed")
-        .when(some(lambda s: s.startswith(".")), "hidden files (starting with '.') are not allowed")
-        .when(some(lambda s: s.endswith(".")), "segments ending with '.' are not allowed")
-        .when(some(lambda s: F.lower(F.substring_index(s, ".", 1)).isin(*DEVICES)), "reserved device name on Windows")
-    )
+#: What makes a relative path unsafe to write to: rules over the whole path, and over each of its segments.
+PATH_RULES: dict[str, Callable[[Column], Column]] = {
+    "empty": lambda p: p == "",
+    "absolute": lambda p: p.startswith("/"),
+    "backslash": lambda p: F.contains(p, F.lit("\\")),
+    "long": lambda p: F.octet_length(p) > PATH_LENGTH,
+}
+SEGMENT_RULES: dict[str, Callable[[Column], Column]] = {
+    "empty-segment": lambda s: s == "",
+    "dots": lambda s: s.isin(".", ".."),
+    "hidden": lambda s: s.startswith("."),
+    "final-dot": lambda s: s.endswith("."),
+    "characters": lambda s: s.rlike("[^A-Za-z0-9_.-]"),
+    "device": lambda s: F.lower(F.substring_index(s, ".", 1)).isin(*DEVICES),
+    "long-segment": lambda s: F.octet_length(s) > SEGMENT_LENGTH,
+}
+
+
+def path_problems(path: Column) -> Column:
+    """Names of the rules that a path breaks; none: it is safe."""
+    whole = [F.when(test(path), F.lit(name)) for name, test in PATH_RULES.items()]
+    each = [F.when(F.exists(F.split(path, "/"), test), F.lit(name)) for name, test in SEGMENT_RULES.items()]
+    return F.array_compact(F.array(*whole, *each))
 
 
 def is_crate_name(c: Column) -> Column:
@@ -234,7 +262,7 @@ def install_layout(files: Column) -> Column:
 
     placed = F.transform(F.array(parts), body)[0]
     low = F.transform(placed, lambda p: F.lower(p))
-    return F.when(F.size(files) == 0, F.raise_error(F.lit("the part lists no files")).cast("array<string>")).when(F.size(F.array_distinct(low)) == F.size(low), placed).otherwise(F.raise_error(F.lit("two files would be written to the same place")).cast("array<string>"))
+    return F.when(F.size(files) == 0, F.raise_error(F.lit("layout: nothing to place")).cast("array<string>")).when(F.size(F.array_distinct(low)) == F.size(low), placed).otherwise(F.raise_error(F.lit("layout: names collide")).cast("array<string>"))
 
 
 def module_name(c: Column) -> Column:

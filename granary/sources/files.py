@@ -16,9 +16,11 @@ def read_files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
 
 def hash_file(spark: SparkSession, algorithm: str, path: str) -> str:
-    rows = read_files(spark, path).select(hex_digest(algorithm, "content")).collect()
-    if len(rows) > 1:
+    found = spark.read.format("binaryFile").load(path)
+    # A folder is found out by its names, before any content is read.
+    if len(found.select("path").limit(2).collect()) > 1:
         raise IsADirectoryError(path)
+    rows = found.select(hex_digest(algorithm, "content")).collect()
     return rows[0][0] if rows else Hasher(algorithm).hexdigest()
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,8 +19,12 @@ from ..functions.minhash import MinHasher, fmix32, sha1_hash32
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.gettempdir()}"
+    """A new folder that all executors share.  Only a session on one machine may use its own temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}"
     return f"{base.rstrip('/')}/granary-stream-{uuid.uuid4().hex}"
 
 
@@ -74,19 +79,22 @@ def histograms(stream: DataFrame, keys: list[str], data: str) -> DataFrame:
 def ordered_digests(stream: DataFrame, key: str, order: str, data: str, algorithm: str = "sha256") -> DataFrame:
     """``key, n_chunks, hexdigest`` after each batch: chunks are held per key, ordered, and hashed as one input.
 
+    Chunks of equal order go by their bytes, as in the batch form; those of null order come first; a null chunk is empty.
     Library hashers can't be stored as state, so the state is the chunks themselves.
     """
     algorithm = parse_algorithm(algorithm)
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held: dict[int, bytes] = pickle.loads(state.get[0]) if state.exists else {}
+        held: list[tuple[bool, int, bytes]] = pickle.loads(state.get[0]) if state.exists else []
         for b in batches:
             for o, d in zip(b["o"], b["d"]):
-                held[int(o)] = bytes(d)
+                known = not pd.isna(o)
+                held.append((known, int(o) if known else 0, b"" if d is None else bytes(d)))
+        held.sort()
         state.update((pickle.dumps(held),))
         h = Hasher(algorithm)
-        for o in sorted(held):
-            h.update(held[o])
+        for _, _, d in held:
+            h.update(d)
         yield pd.DataFrame({key: [k[0]], "n_chunks": [len(held)], "hexdigest": [h.hexdigest()]})
 
     own = stream.select(F.col(key), F.col(order).cast("long").alias("o"), F.col(data).alias("d"))

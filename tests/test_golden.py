@@ -57,6 +57,11 @@ def test_shingle_digest_and_separators(spark):
         shingle.shingles("s", "line")
 
 
+def test_paragraphs_of_any_white_space(spark):
+    one, two = "\u6bb5\u843d" * 20, "\u7b2c\u4e8c" * 20
+    assert values(strings(spark, f"\u3000{one}\n\u3000\n{two}\u2028"), shingle.paragraphs("s")) == [[one, two]]
+
+
 def test_paragraphs(spark):
     long = "x" * 40
     assert values(strings(spark, f"short\n\n  {long} \n \n{long}y"), shingle.paragraphs("s")) == [[long, long + "y"]]
@@ -155,6 +160,8 @@ def test_dedup_operators(spark):
     df = spark.createDataFrame([(3, "a"), (1, "b"), (2, "a"), (4, None)], "id bigint, d string")
     assert [tuple(r) for r in dedup.duplicate_groups(df, "d", "id").collect()] == [("a", 2, 2)]
     assert sorted(r["id"] for r in dedup.keep_first(df, "d", "id").collect()) == [1, 2, 4]
+    odd = spark.createDataFrame([("a", 1), ("b", 1), ("b", 0), ("c", None), (None, 7), (None, 8)], "d string, id bigint")
+    assert sorted((tuple(r) for r in dedup.keep_first(odd, "d", "id").collect()), key=str) == sorted([("a", 1), ("b", 0), ("c", None), (None, 7)], key=str)
     assert dedup.duplicate_groups(df.limit(0), "d", "id").count() == 0
 
 

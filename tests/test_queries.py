@@ -50,6 +50,48 @@ def test_medians(spark):
     assert {r["k"]: (r["upper_median"], r["median"]) for r in R.medians(df, ["k"], "v").collect()} == {"a": (3.0, 2.0), "b": (5.0, 5.0)}
 
 
+def test_medians_of_odd_values(spark):
+    rng = __import__("random").Random(2)
+    rows = [(k, v) for k, n in (("a", 1001), ("b", 500), (None, 7)) for v in [rng.choice([rng.gauss(0, 1), 3.0, 1e9, -1e9]) for _ in range(n)]]
+    rows += [("nulls", None)] * 3 + [("nulls", 1.0)] * 4 + [("odd", float("inf")), ("odd", float("-inf")), ("odd", float("nan"))] + [("same", 2.5)] * 100 + [("void", None)]
+    got = {r["k"]: (r["upper_median"], r["median"]) for r in R.medians(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
+    for k in {r[0] for r in rows}:
+        own = sorted((v for q, v in rows if q == k), key=lambda v: (v is not None, v != v if v is not None else False, v or 0.0))
+        up, down = own[len(own) // 2], own[(len(own) + 1) // 2 - 1]
+        assert got[k] == (up, None if up is None or down is None else (up + down) / 2)
+
+
+def test_adjacent_pairs_in_ranges(spark, monkeypatch):
+    from granary.operators import dedup
+
+    rows = [("ab"[i % 2], i * i, f"r{i}") for i in range(200)] + [("c", 5, "x"), (None, 1, "n1"), (None, 39000, "n2")]
+    df = spark.createDataFrame(rows, "p string, o bigint, v string")
+    want = sorted((a[2], b[2]) for p in ("a", "b", "c", None) for x in [sorted((r for r in rows if r[0] == p), key=lambda r: r[1])] for a, b in zip(x, x[1:]))
+    for size in (1 << 20, 10, 1):
+        monkeypatch.setattr(dedup, "SORTED_ROWS", size)
+        assert sorted((r["v"], r["next_v"]) for r in dedup.adjacent_pairs(df, "p", "o", ["v"]).collect()) == want
+    assert dedup.adjacent_pairs(df.limit(0), "p", "o", ["v"]).count() == 0
+
+
+def test_files_are_hashed_whole(spark):
+    import hashlib
+
+    got = {r["file"]: (r["length"], r["sha256"]) for r in Q.hash_table_files(spark, DATA).collect()}
+    files = {f"{t}.parquet": open(f"{DATA}/{t}.parquet", "rb").read() for t in TABLES}
+    assert got == {f: (len(b), hashlib.sha256(b).hexdigest()) for f, b in files.items()}
+
+
+def test_ordered_digests_hold_every_chunk(spark, tmp_path):
+    import hashlib
+
+    from granary.streaming import incremental as T
+
+    rows = [(1, 2, b"c"), (1, 1, b"b"), (1, 1, b"a"), (1, None, b"0"), (2, 1, None), (2, 1, b"x")]
+    spark.createDataFrame(rows, "k bigint, o bigint, d binary").write.parquet(str(tmp_path / "t.parquet"))
+    got = {r["k"]: (r["n_chunks"], r["hexdigest"]) for r in T.drain(T.ordered_digests(T.read_stream(spark, str(tmp_path), "t"), "k", "o", "d"), "update").collect()}
+    assert got == {1: (4, hashlib.sha256(b"0abc").hexdigest()), 2: (2, hashlib.sha256(b"x").hexdigest())}
+
+
 def test_catalog_files(spark, tmp_path):
     import json
 
@@ -71,6 +113,6 @@ def test_catalog_errors(spark):
         C.search(Q.catalog(spark), "music")
     with pytest.raises(ValueError):
         C.localized(Q.catalog(spark), "xx")
-    with pytest.raises(Exception, match="same place"):
+    with pytest.raises(Exception, match="collide"):
         spark.range(1).select(C.install_layout(F.array(F.lit("a/X.rs"), F.lit("a/x.rs")))).collect()
     assert C.search(Q.catalog(spark), None, "  ").count() == len(Q.CATALOG)
