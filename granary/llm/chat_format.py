@@ -6,6 +6,7 @@ flattens it: text is escaped and copied, attachments (image, audio, document) be
 
 Control strings inside texts are escaped by a backslash after their first character
 (``<|`` becomes ``<\\|``); backslashes already standing there are kept and one is added, so unescaping is exact.
+Neighbouring texts are escaped as the one text they make, so no control string can be put together from several parts.
 """
 
 from __future__ import annotations
@@ -43,25 +44,49 @@ TOKENS: dict[str, Callable[[Column], Column]] = {
 }
 
 
+#: Stands for placeholders while texts are joined and escaped; where a text holds it, a mark is added, so it can't be taken for one.
+MARK = "\ue000"
+
+
+def is_attachment(p: Column) -> Column:
+    return F.coalesce(p["type"].isin(*TOKENS), F.lit(False))
+
+
+def expanded_tokens(p: Column) -> Column:
+    """The tokens that an attachment expands to."""
+    out = F.lit(None).cast("long")
+    for kind, tokens in TOKENS.items():
+        out = F.when(p["type"] == kind, tokens(p)).otherwise(out)
+    return out
+
+
 def flatten_parts(parts: Column) -> Column:
     """Visit the parts in order: ``struct<body, attachments: array<struct<index, type, ref, tokens>>>``.
 
-    A part of an unknown or null type counts as text.  Null parts and null texts are empty.
+    A part of an unknown or null type counts as text.  Null parts and null texts are empty.  Texts between two
+    attachments are escaped together.
     """
-    one = "struct<index:bigint,type:string,ref:string,tokens:bigint>"
-    start = F.struct(F.lit("").alias("body"), F.array().cast(f"array<{one}>").alias("attachments"))
+    one = "array<struct<index:bigint,type:string,ref:string,tokens:bigint>>"
+    parts = F.coalesce(parts, F.array().cast(f"array<{PART}>"))
+
+    def visit(parts: Column, at: Column) -> Column:
+        def piece(p: Column, i: Column) -> Column:
+            index = (F.array_position(at, i) - 1).cast("string")
+            mark = F.concat(F.lit(MARK + "+"), p["type"], F.lit(":"), index, F.lit(":"), expanded_tokens(p).cast("string"), F.lit(MARK))
+            return F.when(is_attachment(p), mark).otherwise(F.replace(F.coalesce(p["text"], F.lit("")), F.lit(MARK), F.lit(MARK + "-")))
+
+        body = escape(F.array_join(F.transform(parts, piece), ""))
+        placed = F.replace(F.regexp_replace(body, MARK + r"\+([a-z]+:[0-9]+:[0-9]+)" + MARK, r"<|$1|>"), F.lit(MARK + "-"), F.lit(MARK))
+
+        def seen(i: Column, n: Column) -> Column:
+            p = F.get(parts, i)
+            return F.struct(n.cast("long").alias("index"), p["type"].alias("type"), p["ref"].alias("ref"), expanded_tokens(p).alias("tokens"))
 
-    def visit(state: Column, p: Column) -> Column:
-        index = F.size(state["attachments"]).cast("long")
-        text = F.struct(F.concat(state["body"], escape(F.coalesce(p["text"], F.lit("")))).alias("body"), state["attachments"].alias("attachments"))
-        out = F.when(F.lit(False), text)
-        for kind, tokens in TOKENS.items():
-            mark = F.concat(F.lit(f"<|{kind}:"), index.cast("string"), F.lit(":"), tokens(p).cast("string"), F.lit("|>"))
-            seen = F.struct(index.alias("index"), F.lit(kind).alias("type"), p["ref"].alias("ref"), tokens(p).alias("tokens"))
-            out = out.when(p["type"] == kind, F.struct(F.concat(state["body"], mark).alias("body"), F.concat(state["attachments"], F.array(seen)).alias("attachments")))
-        return out.otherwise(text)
+        return F.struct(F.when(F.contains(body, F.lit(MARK)), placed).otherwise(body).alias("body"), F.transform(at, seen).cast(one).alias("attachments"))
 
-    return F.aggregate(F.coalesce(parts, F.array().cast(f"array<{PART}>")), start, visit)
+    # Positions of the attachments are found once, not once for each part.
+    bound = F.array(F.struct(parts.alias("parts"), F.filter(F.transform(parts, lambda p, i: F.when(is_attachment(p), i)), lambda i: i.isNotNull()).alias("at")))
+    return F.get(F.transform(bound, lambda x: visit(x["parts"], x["at"])), F.lit(0))
 
 
 def text_part(text: Column) -> Column:
@@ -91,13 +116,14 @@ def format_conversations(turns: DataFrame, parts_col: str | None = None) -> Data
 
 
 def parse_formatted(formatted: Column) -> Column:
-    """Read turns back: ``array<struct<role, text>>``, placeholders left out and texts unescaped."""
-    turns = F.slice(F.split(formatted, r"<\|start\|>"), F.lit(2), F.greatest(F.size(F.split(formatted, r"<\|start\|>")) - 1, F.lit(0)))
+    """Read turns back: ``array<struct<role, text>>``, placeholders left out and the texts between them unescaped each."""
+    turns = F.filter(F.split(formatted, r"<\|start\|>"), lambda t, i: i > 0)
 
     def read(t: Column) -> Column:
         at = F.instr(t, BODY)
         body = F.substring(t, at + len(BODY), F.greatest(F.length(t) - at - len(BODY) - len(END) + 1, F.lit(0)))
-        return F.struct(unescape(F.substring(t, F.lit(1), at - 1)).alias("role"), unescape(F.regexp_replace(body, PLACEHOLDER, "")).alias("text"))
+        text = F.array_join(F.transform(F.split(body, PLACEHOLDER), unescape), "")
+        return F.struct(unescape(F.substring(t, F.lit(1), at - 1)).alias("role"), text.alias("text"))
 
     return F.transform(turns, read)
 
