@@ -1,9 +1,10 @@
 """Exact top-k search by MaxScore over integer vectors.
 
-The dimensions of a query are its terms.  Within a shard of rows each term has a range of possible contributions; the
-terms with the smallest ranges, which together can't lift a row over the k-th best score so far, are
-non-essential.  The postings of the essential terms are traversed block by block; a row is probed in the other terms, largest
-range first, only while its score can still compete.  Shards return their k best, which are merged.
+The dimensions of a query are its terms, and a row's contribution in a term is its product there, counted from the least of the
+shard, so contributions are never negative and have an upper bound.  A term's postings are the rows above that least, by column.  While the k-th best score so far
+rises, more and more of the terms with the smallest bounds can't lift a row over it even together: they are non-essential.  The postings of the
+essential terms are traversed block by block; a row is probed in the other terms, largest bound
+first, only while its score can still compete.  Shards return their k best, which are merged.
 """
 
 from __future__ import annotations
@@ -18,51 +19,67 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 #: Rows of a posting block; non-essential terms probed in one step.
-BLOCK, STEP = 1024, 8
-#: Queries in one block; only so many are on the driver and in a task at once.
-QUERIES = 2048
+BLOCK, STEP = 512, 8
+#: Rows of a shard: a share of all, within these bounds, of which the upper one bounds a task's memory.
+SHARES, LEAST_ROWS, MOST_ROWS = 64, 1 << 10, 1 << 17
 
 
-def top_k(ids: np.ndarray, rows: np.ndarray, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
-    """(vec_id, score) of the k best rows, best first, ties to smaller ids; the query's own row takes no part."""
+def essential_terms(rest: np.ndarray, least: float, theta: float | None) -> int:
+    """How many of the terms, largest bound first, are essential: the others together can't lift a row from the least score to ``theta``.
+
+    ``rest[i]`` is the sum of the bounds of term i and all later ones.
+    """
+    if theta is None:
+        return len(rest) - 1
+    return min(int(np.searchsorted(-rest, least - theta, side="right")), len(rest) - 1)
+
+
+def top_k(ids: np.ndarray, columns: np.ndarray, query_id: int, query: np.ndarray, k: int, bounds: tuple[np.ndarray, np.ndarray] | None = None, work: list[tuple[int, int, int]] | None = None) -> list[tuple[int, int]]:
+    """(vec_id, score) of the k best rows, best first, ties to smaller ids; the query's own row takes no part.
+
+    ``columns`` has a row for each term: its postings.  ``work`` gets, for each block, its rows, the number of essential terms and of the
+    products made.
+    """
     if not len(ids):
         return []
-    lo, hi = rows.min(axis=0), rows.max(axis=0)
-    least, most = np.minimum(query * lo, query * hi), np.maximum(query * lo, query * hi)
-    order = np.argsort(most - least, kind="stable")[::-1]  # largest range first
-    q, ceiling = query[order], most[order]
-    rest = np.append(np.cumsum(ceiling[::-1])[::-1], 0)  # rest[i]: what terms i and later can add at most
-    span = np.append(np.cumsum((most - least)[order][::-1])[::-1], 0)
-    best_ids, best = np.empty(0, np.int64), np.empty(0, rows.dtype)
+    lo, hi = (columns.min(axis=1), columns.max(axis=1)) if bounds is None else bounds
+    a, b = query * lo, query * hi
+    low, span = np.minimum(a, b), np.abs(a - b)
+    order = np.argsort(-span, kind="stable")
+    q = query[order]
+    rest = np.append(np.cumsum(span[order][::-1])[::-1], 0)
+    floor = np.append(np.cumsum(low[order][::-1])[::-1], 0)  # what the terms from i on give at least
+    best_ids, best = np.empty(0, np.int64), np.empty(0, columns.dtype)
     theta = None
     for at in range(0, len(ids), BLOCK):
-        own, part = ids[at : at + BLOCK], rows[at : at + BLOCK]
-        if theta is None:
-            split = len(q)
-        else:
-            # Terms from ``split`` on are non-essential: with the mean of the essential ones a row needs more than they can add.
-            split = int(np.searchsorted(-span, -max(span[0] / 4, 0)))
-            split = min(max(split, STEP), len(q))
-        score = part[:, order[:split]] @ q[:split]
+        own = ids[at : at + BLOCK]
+        # No row reaches theta by non-essential terms alone: each candidate is in the postings of an essential one.
+        split = essential_terms(rest, float(floor[0]), theta)
+        if split == 0:
+            break
+        score = q[:split] @ columns[order[:split], at : at + BLOCK]
+        made = split * len(own)
         live = np.flatnonzero(own != query_id)
-        score = score[live]
-        done = split
+        score, done = score[live], split
         while True:
             if theta is not None:
-                keep = score + rest[done] >= theta
+                keep = score + (floor[done] + rest[done]) >= theta
                 live, score = live[keep], score[keep]
             if done >= len(q) or not len(live):
                 break
             to = min(done + STEP, len(q))
-            score = score + part[np.ix_(live, order[done:to])] @ q[done:to]
+            score = score + q[done:to] @ columns[order[done:to, None], at + live[None, :]]
+            made += (to - done) * len(live)
             done = to
+        if work is not None:
+            work.append((len(own), split, made))
         if not len(live):
             continue
         best_ids, best = np.concatenate([best_ids, own[live]]), np.concatenate([best, score])
         o = np.lexsort((best_ids, -best))[:k]
         best_ids, best = best_ids[o], best[o]
         if len(best) == k:
-            theta = best[-1]
+            theta = float(best[-1]) if columns.dtype.kind == "f" else int(best[-1])
     return [(int(i), int(s)) for i, s in zip(best_ids, best)]
 
 
@@ -70,60 +87,75 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     """``query_id, rank, vec_id, score`` of each query's k best rows of ``vectors``, its own id left out.
 
     Components become floor(scale * x); the score is the integer inner product.  Vectors that are null or hold null or non-finite
-    components take no part, nor do rows of null id; an empty vector scores 0, and a shorter one counts as zero in what it lacks.  Of queries that repeat
-    an id the smallest vector counts; repeated rows are candidates each.  An empty table gives an empty result.
+    components take no part, nor do rows of null id; an empty vector scores 0, and a shorter one counts as zero in what it lacks.  Scores that need more
+    than 64 bits raise an error.  Of queries that repeat
+    an id the smallest vector counts; repeated rows are candidates each.  An empty table gives an empty result; extra columns don't matter.
+
+    Rows are dealt to shards by a hash of id and vector.  The queries are a table too: it is dealt to all shards, whose task holds the shard's rows and takes the
+    queries one batch after the other; nothing goes through the driver.
     """
     whole = F.transform(F.col(f"`{vec_col}`"), lambda x: F.floor(x.cast("double") * scale).cast("long"))
-    sound = F.col(f"`{vec_col}`").isNotNull() & F.forall(f"`{vec_col}`", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < 1e15))
+    sound = F.col(f"`{vec_col}`").isNotNull() & F.forall(f"`{vec_col}`", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf")))
 
     def clean(df: DataFrame) -> DataFrame:
         return df.filter(sound & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), whole.alias("v"))
 
-    q = clean(queries).groupBy("id").agg(F.min("v").alias("v"))
-    q = materialize(q, "queries")
-    n_blocks = max(1, -(-q.count() // QUERIES))
+    q = materialize(clean(queries).groupBy("id").agg(F.min("v").alias("v")), "queries")
     rows = clean(vectors)
-    found = None
-    for n in range(n_blocks):
-        part = q.filter(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == n).orderBy("id").collect()
-        own = rows.mapInArrow(_shard(part, k), "query_id bigint, vec_id bigint, score bigint")
-        found = own if found is None else found.union(own)
+    n = rows.count()
+    shards = max(1, -(-n // min(max(n // SHARES, LEAST_ROWS), MOST_ROWS)))
+    own = rows.select(F.pmod(F.xxhash64("id", "v"), F.lit(shards)).alias("s"), F.lit(False).alias("asks"), "id", "v")
+    asked = q.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("s"), F.lit(True).alias("asks"), "id", "v")
+    dealt = own.unionByName(asked).repartition(shards, "s").sortWithinPartitions("s", "asks")
+    found = dealt.mapInArrow(lambda x: _shards(x, k), "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _shard(part: list, k: int, shard_rows: int = 1 << 15):
-    query_ids, widest = [r[0] for r in part], max([len(r[1]) for r in part], default=0)
-    packed = [np.array(r[1], np.int64) for r in part]
-
-    def best(ids: list[int], vs: list[list[int]]) -> pa.RecordBatch:
-        width = max(widest, max(map(len, vs)))
-        rows = np.zeros((len(vs), width), np.int64)
-        for i, v in enumerate(vs):
-            rows[i, : len(v)] = v
-        top = float(np.abs(rows).max(initial=0)) * max([float(np.abs(q).max(initial=0)) for q in packed], default=0.0) * max(width, 1)
-        if top >= 2**62:
-            raise OverflowError("scores of these vectors need more than 64 bits")
-        kind = np.float64 if top < 2**52 else np.int64  # floats are exact up to there and multiply faster
-        ids_, rows = np.array(ids, np.int64), rows.astype(kind)
-        out: list[tuple[int, int, int]] = []
-        for qid, v in zip(query_ids, packed):
-            q = np.zeros(width, kind)
-            q[: len(v)] = v
-            out += [(qid, i, s) for i, s in top_k(ids_, rows, qid, q, k)]
-        cols = np.array(out, np.int64).reshape(-1, 3)
-        return pa.RecordBatch.from_arrays([pa.array(cols[:, i]) for i in range(3)], ["query_id", "vec_id", "score"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
-        vs: list[list[int]] = []
-        for b in batches:
-            ids += b.column(0).to_pylist()
-            vs += b.column(1).to_pylist()
-            if len(ids) >= shard_rows:
-                yield best(ids, vs)
-                ids, vs = [], []
-        if ids:
-            yield best(ids, vs)
-
-    return run
+def _shards(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Of each shard first its rows, then the queries, in this order."""
+    now, ids, vs = None, [], []
+    ready: tuple | None = None
+
+    def pack() -> tuple:
+        each = [v.value_lengths().to_numpy(zero_copy_only=False) for v in vs]
+        size = np.concatenate(each).astype(np.int64)
+        columns = np.zeros((int(size.max(initial=0)), len(size)), np.int64)
+        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        columns[at, np.repeat(np.arange(len(size)), size)] = np.concatenate([v.flatten().to_numpy(zero_copy_only=False) for v in vs])
+        # Floats are exact up to 2**53 and multiply faster.
+        return np.concatenate(ids), columns, columns.astype(np.float64), float(np.abs(columns).max(initial=0)), columns.min(axis=1), columns.max(axis=1)
+
+    for b in batches:
+        s, asks = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        cuts = [0, *(np.flatnonzero((s[1:] != s[:-1]) | (asks[1:] != asks[:-1])) + 1).tolist(), len(s)]
+        for u, v in zip(cuts, cuts[1:]):
+            if u == v:
+                continue
+            if s[u] != now:
+                now, ids, vs, ready = s[u], [], [], None
+            part = b.slice(u, v - u)
+            if not asks[u]:
+                ids.append(part.column(2).to_numpy())
+                vs.append(part.column(3))
+                continue
+            if not ids:
+                continue
+            if ready is None:
+                ready = pack()
+                vs = []
+            out = [x for i in range(u, v) for x in _answer(ready, int(b.column(2)[i].as_py()), b.column(3)[i].values.to_numpy(zero_copy_only=False), k)]
+            cols = np.array(out, np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([pa.array(cols[:, i]) for i in range(3)], ["query_id", "vec_id", "score"])
+
+
+def _answer(shard: tuple, query_id: int, v: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    ids, columns, as_floats, largest, lo, hi = shard
+    width = len(columns)
+    top = largest * float(np.abs(v.astype(np.float64)).max(initial=0)) * max(width, 1)
+    if top >= 2**62:
+        raise OverflowError("scores of these vectors need more than 64 bits")
+    small = top < 2**52
+    q = np.zeros(width, np.float64 if small else np.int64)
+    q[: len(v)] = v[:width]
+    return [(query_id, i, s) for i, s in top_k(ids, as_floats if small else columns, query_id, q, k, (lo, hi))]
