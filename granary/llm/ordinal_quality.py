@@ -21,7 +21,13 @@ from pyspark.sql import functions as F
 from .common import boxed
 
 #: Hashed features, and words remembered by a worker.
-DIMENSIONS, REMEMBERED = 1 << 18, 200_000
+DIMENSIONS, REMEMBERED = 1 << 18, 50_000
+#: Slots in front for word shapes and repetition, which say the same of short and long texts.
+SHARES = 1 << 12
+#: By so much at least a common word must shift the share of rows above some grade.
+LEAST_SHIFT = 0.2
+#: Letters of the word beginnings that are features.
+BEGINNINGS = (4, 6)
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _RUNS = re.compile(r"(.)\1+", re.DOTALL)
 
@@ -29,7 +35,8 @@ _RUNS = re.compile(r"(.)\1+", re.DOTALL)
 def _slot(kind: str, name: str) -> int:
     import xxhash
 
-    return xxhash.xxh32_intdigest(f"{kind}:{name}".encode("utf-8", "surrogatepass"), 7) % DIMENSIONS
+    h = xxhash.xxh32_intdigest(f"{kind}:{name}".encode("utf-8", "surrogatepass"), 7)
+    return h % SHARES if kind in "sr" else SHARES + h % (DIMENSIONS - SHARES)
 
 
 def _shape(word: str) -> str:
@@ -38,10 +45,10 @@ def _shape(word: str) -> str:
     return _RUNS.sub(r"\1", mapped)[:8]
 
 
-def _word_slots(word: str) -> tuple[int, int, int]:
-    """Slots of the bare word, its first four letters and its shape."""
+def _word_slots(word: str) -> tuple[int, tuple[int, ...], int]:
+    """Slots of the bare word, of its beginnings and of its shape."""
     bare = _EDGES.sub("", word).lower()
-    return _slot("w", bare), _slot("p", bare[:4]), _slot("s", _shape(word))
+    return _slot("w", bare), tuple(_slot("p", bare[:n]) for n in BEGINNINGS if len(bare) >= n), _slot("s", _shape(word))
 
 
 def _variety(n_words: int, n_distinct: int) -> int:
@@ -50,14 +57,19 @@ def _variety(n_words: int, n_distinct: int) -> int:
 
 
 def features(text: str | None) -> dict[int, float]:
-    """Presence of each word and word start, share of each word shape (times 8), and a slot for repetition."""
+    """Presence of each word, log(1 + times) of each word beginning, share of each word shape (times 8), and a slot for repetition."""
     counts = Counter((text or "").split())
     n = sum(counts.values())
     out: dict[int, float] = {}
+    starts: Counter[int] = Counter()
     for word, times in counts.items():
-        w, p, s = _word_slots(word)
-        out[w] = out[p] = 1.0
+        w, ps, s = _word_slots(word)
+        out[w] = 1.0
+        for p in ps:
+            starts[p] += times
         out[s] = out.get(s, 0.0) + 8.0 * times / n
+    for p, times in starts.items():
+        out[p] = float(np.log1p(times))
     out[_variety(n, len(counts))] = 1.0
     return out
 
@@ -72,20 +84,23 @@ class OrdinalModel:
         return 1.0 / (1.0 + np.exp(-np.clip(np.asarray(score, float)[:, None] - self.thresholds[None, :], -60, 60)))
 
 
-def fit_ordinal(row: np.ndarray, col: np.ndarray, val: np.ndarray, grades: np.ndarray, n_grades: int, l2: float = 0.002, least_rows: int = 5, least_z: float = 5.0, steps: int = 300, rate: float = 0.1, balance: float = 0.0) -> OrdinalModel:
+def fit_ordinal(row: np.ndarray, col: np.ndarray, val: np.ndarray, grades: np.ndarray, n_grades: int, l2: float = 0.002, least_rows: int = 5, least_z: float = 5.0, most_share: float = 1.0, steps: int = 300, rate: float = 0.1, balance: float = 0.0) -> OrdinalModel:
     """Fit to the features (row, col, val) and grades, by Adam on the mean negative log-likelihood plus an L2 term.  Features in fewer than ``least_rows`` rows, or
-    within ``least_z`` standard deviations of chance, get no weight.  ``balance`` 1 weighs grades alike, 0 weighs rows alike.
+    within ``least_z`` standard deviations of chance, get no weight, nor do words and beginnings in over ``most_share`` of all rows
+    that hardly shift the grades' shares: added up over a long text they would drown the few words that tell.  ``balance`` 1 weighs grades alike, 0 weighs rows alike.
     """
     y = np.asarray(grades, np.int64)
     # Screening: of the many rare words only those stay whose rows' grades differ from the rest beyond chance.
     n = np.bincount(col, minlength=DIMENSIONS)
-    strongest = np.zeros(DIMENSIONS)
+    strongest, shift = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS)
     for k in range(n_grades - 1):
         p = float(np.mean(y > k))
         if 0 < p < 1:
             ups = np.bincount(col, (y > k)[row], minlength=DIMENSIONS)
             strongest = np.maximum(strongest, np.abs(ups - n * p) / np.sqrt(np.maximum(n, 1) * p * (1 - p)))
-    keep = ((n >= least_rows) & (strongest >= least_z))[col]
+            shift = np.maximum(shift, np.abs(ups / np.maximum(n, 1) - p))
+    common = (n > most_share * len(y)) & (shift < LEAST_SHIFT) & (np.arange(DIMENSIONS) >= SHARES)
+    keep = ((n >= least_rows) & (strongest >= least_z) & ~common)[col]
     row, col, val = row[keep], col[keep], val[keep]
     used, col = np.unique(col, return_inverse=True)
     per = np.bincount(y, minlength=n_grades)
@@ -153,11 +168,13 @@ def score_quality(
     seed: int = 5,
     keep_above: int = 1,
     keep_probability: float = 0.5,
+    most_share: float = 0.1,
+    balance: float = 0.5,
 ) -> DataFrame:
     """Every row of ``docs`` as ``_row``, with ``expected_grade, tail_probability, kept``.
 
     ``ratings`` has rated_id and grade (0 to n_grades - 1).  The model is fitted on at most ``train_rows`` of them (the bound of the
-    sample); every document is scored on its whole text.  ``tail_probability`` is P(grade > keep_above); rows with at least
+    sample, of which the driver holds the features); every document is scored on its whole text.  ``tail_probability`` is P(grade > keep_above); rows with at least
     ``keep_probability`` are kept.  Null texts count as empty and are scored like any other.  Ratings without a grade or without a document are
     ignored; an id rated twice counts twice.  Without ratings of at least two grades nothing can be learned: all rows are kept, with null scores.
     An empty table gives an empty result; extra columns travel inside ``_row``.
@@ -167,30 +184,35 @@ def score_quality(
     if len(np.unique(grades)) < 2:
         null = F.lit(None).cast("double")
         return base.select("_row", null.alias("expected_grade"), null.alias("tail_probability"), F.lit(True).alias("kept"))
-    model = fit_ordinal(row, col, val, grades, n_grades)
+    model = fit_ordinal(row, col, val, grades, n_grades, most_share=most_share, balance=balance)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 1 MB, whatever the input
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         weights = sent.value.weights
         # Most words have no weight: remember those slots of a word that have one, and the weight of its shape.
-        known: dict[str, tuple[tuple[int, ...], float]] = {}
+        known: dict[str, tuple[tuple[int, ...], tuple[int, ...], float]] = {}
         for batch in texts:
             out = np.zeros(len(batch))
             for i, text in enumerate(batch):
                 counts = Counter((text or "").split())
                 n = sum(counts.values())
                 present: set[int] = set()
+                starts: Counter[int] = Counter()
                 shapes = 0.0
                 for word, times in counts.items():
                     got = known.get(word)
                     if got is None:
-                        w, p, s = _word_slots(word)
-                        got = known[word] = (tuple(x for x in (w, p) if weights[x]), float(weights[s]))
+                        w, ps, s = _word_slots(word)
+                        got = ((w,) if weights[w] else (), tuple(x for x in ps if weights[x]), float(weights[s]))
+                        if len(word) <= 64:
+                            known[word] = got
                     if got[0]:
                         present.update(got[0])
-                    shapes += times * got[1]
-                total = float(sum(weights[x] for x in sorted(present)))
+                    for x in got[1]:
+                        starts[x] += times
+                    shapes += times * got[2]
+                total = float(sum(weights[x] for x in sorted(present))) + float(sum(weights[x] * np.log1p(k) for x, k in sorted(starts.items())))
                 out[i] = total + 8.0 * shapes / max(1, n) + float(weights[_variety(n, len(counts))])
                 if len(known) > REMEMBERED:
                     known.clear()
