@@ -14,13 +14,10 @@ from granary.llm.ordinal_quality import score_quality
 from granary.llm.poisson_mix import poisson_mix
 from granary.llm.queries import MIX_SEED, SENTENCEPIECE_MODEL, ratings
 from granary.llm.sentencepiece_codec import encode_documents
-from granary.llm.simhash import similar_components, simhash_components
+from granary.llm.simhash import near_duplicates, row_key
 
 #: Near duplicates: a Jaccard similarity of the sets of five-word shingles of at least this.
-SIMILARITY = 0.8
-#: Candidates: fingerprints of 512 bits over the same shingles, of which 105 may differ: a similarity of 0.8 differs
-#: in 78 on average, with a standard deviation of 8.  The first 64 bits, by which the trie is walked, may differ in 18.
-NEAR = {"width": 5, "n_words": 8, "budget": 18, "n_blocks": 4, "full": 105}
+SIMILARITY, SHINGLE_WORDS = 0.8, 5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,12 +33,19 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays; rows without an id stay.
 
-    Fingerprints give the candidates; what links is the similarity of the shingles themselves.
+    Fingerprints give the candidates; what links is the similarity of the shingles themselves.  Rows go by id and text, so a row that only shares
+    its id with another has its own fate; of rows equal in both, which exact dedup leaves none of, one stays.
     """
-    groups = simhash_components(docs, **NEAR)
-    roots = similar_components(docs, groups, SIMILARITY, NEAR["width"])
-    gone = materialize(roots.filter("node <> root").select(F.col("node").alias("doc_id")), "near")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    groups = near_duplicates(docs, SIMILARITY, SHINGLE_WORDS)
+    gone = groups.filter("key <> keep_key").select(F.col("key").alias("_gone")).distinct()
+    key = row_key()
+    left = docs.join(gone, (key == F.col("_gone")) & F.col("doc_id").isNotNull(), "left_anti")
+    repeats = materialize(left.filter("doc_id IS NOT NULL").groupBy(key.alias("_key")).count().filter("count > 1").select("_key"), "repeats")
+    if repeats.isEmpty():
+        return left.select(*docs.columns)
+    again = left.join(repeats, (key == F.col("_key")) & F.col("doc_id").isNotNull(), "left_semi")
+    once = left.join(repeats, (key == F.col("_key")) & F.col("doc_id").isNotNull(), "left_anti")
+    return once.unionByName(again.dropDuplicates(["doc_id", "text"])).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``node, root`` for every node of ``edges`` (columns a, b), root being the smallest node reachable.
 
     Each round is two aggregations and two joins on the edge table; the number of rounds grows with the logarithm of the longest
-    path.  Every round is written to the shared folder, so a lost executor costs one round at most.
+    path.  Every round is written to the shared folder, so a lost executor costs one round at most; the tables of the round before are deleted then.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "edges")
     before = None
@@ -24,7 +24,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # Small star: a node and its neighbours below link to the smallest of them.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = materialize(low.select("a", F.col("m").alias("b")).union(small).distinct(), "small")
+        last, now = now, materialize(low.select("a", F.col("m").alias("b")).union(small).distinct(), "small")
+        discard(last, large)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -23,8 +23,8 @@ META = "▁"
 #: Piece types and model types of the protobuf: fixed values.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Words remembered by a worker, and characters encoded in one call.
-WORDS, BATCH_CHARS = 400_000, 1 << 20
+#: Words remembered by a worker (of at most so many characters, so some 20 MB in all), and characters encoded in one call.
+WORDS, WORD_CHARS, BATCH_CHARS = 60_000, 64, 1 << 20
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes | float]]:
@@ -168,11 +168,12 @@ class Codec:
         split = [self.find(((META if m.dummy_prefix and t else "") + t).replace(" ", META)) for t in texts]
         known = self.words
         new = list({w for ws in split for w in ws if w not in known})
-        if len(known) + len(new) > WORDS:
+        here = dict(zip(new, self._batches(self.inner, new)))
+        out = [np.fromiter(chain.from_iterable(known[w] if w in known else here[w] for w in ws), np.int32) for ws in split]
+        if len(known) + len(here) > WORDS:
             known.clear()
-            new = list({w for ws in split for w in ws})
-        known.update(zip(new, self._batches(self.inner, new)))
-        return [np.fromiter(chain.from_iterable(map(known.__getitem__, ws)), np.int32) for ws in split]
+        known.update((w, ids) for w, ids in here.items() if len(w) <= WORD_CHARS)
+        return out
 
     def decode(self, ids: Sequence[int]) -> str:
         """Text of the ids; bytes that are no UTF-8 become U+FFFD, the marker in front is taken off."""
@@ -182,7 +183,8 @@ class Codec:
         return out.decode("utf-8", "replace")
 
     def round_trips(self, text: str, ids: Sequence[int]) -> bool:
-        return self.decode(ids) == text.replace(META, " ")
+        """Whether decoding gives the very text back; a marker in the text comes back as a space, so such a text does not."""
+        return self.decode(ids) == text
 
 
 @lru_cache(maxsize=2)
@@ -193,7 +195,8 @@ def _codec(proto: bytes, threads: int) -> Codec:
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", threads: int = 2, docs_at_once: int = 256) -> DataFrame:
     """``doc_id, n_tokens, ids: array<int>, round_trip`` of every row and its whole text.
 
-    ``round_trip`` says whether decoding the ids gives the text back.  The model file is read on the driver and
+    ``round_trip`` says whether decoding the ids gives the very text back; it is false where the text holds the marker U+2581, which
+    stands for a space in pieces.  The model file is read on the driver and
     sent along, so executors need no copy of it.  A null text counts as empty and has no tokens; null ids stay null;
     repeated rows are repeated; an empty table gives an empty result; extra columns don't matter.
     """

@@ -19,14 +19,11 @@ all documents share sends a few records from each chunk, not one from each docum
 
 from __future__ import annotations
 
-import gc
-import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -374,16 +371,38 @@ def cut_repeats(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Re
             kept.append(b"".join(left))
         yield pa.RecordBatch.from_arrays(
             [b.column(0), pa.array([len(t) for t in b.column(1).to_pylist()], pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
-            ["doc", "n_bytes", "spans", "kept"],
+            ["doc_id", "n_bytes", "spans", "kept"],
         )
 
 
-def release(spark) -> None:
-    """Let Spark delete the shuffle files of tables that have been written: it does so when the driver collects its garbage."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``doc, id, text`` and a shift: rows of equal id and text share ``doc``, ids compare as ``doc >> shift`` do.
+
+    Where ids are unique they are the numbers.  Else different ids, and the different texts of an id, are numbered in order on the cluster: by their place in
+    a sorted partition, and the sizes of the partitions before it, of which the driver sees one number each.
+    """
+    known = docs.filter("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    if known.filter("n > 1").isEmpty():
+        return docs.select(F.col("id").alias("doc"), "id", "text"), 0
+    text = F.xxhash64("text", F.length("text"))
+
+    def places(df: DataFrame, *order: str) -> DataFrame:
+        held = materialize(df.distinct().repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), "places")
+        sizes = sorted((r["p"], r["n"]) for r in held.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect())
+        before = {p: sum(n for q, n in sizes if q < p) for p, _ in sizes}
+        offset = F.element_at(F.create_map(*[F.lit(x).cast("long") for pair in before.items() for x in pair]), F.col("p").cast("long")) if before else F.lit(0)
+        return held.withColumn("at", F.col("at") + offset).drop("p")
+
+    pairs = places(docs.filter("id IS NOT NULL").select("id", text.alias("h")), "id", "h")
+    firsts = pairs.groupBy("id").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    ranks = places(firsts.select("id"), "id").withColumnRenamed("at", "rank")
+    most, ids = firsts.agg(F.max(F.col("last") - F.col("first")), F.count(F.lit(1))).first()
+    shift = max(1, int(most).bit_length())
+    if shift + int(ids).bit_length() > 62:
+        raise OverflowError("too many rows share an id")
+    doc = F.shiftleft("rank", shift).bitwiseOR(F.col("at") - F.col("first"))
+    numbers = materialize(pairs.join(firsts, "id").join(ranks, "id").select("id", "h", doc.alias("doc")), "numbers")
+    return docs.withColumn("h", text).join(numbers, ["id", "h"], "left").select("doc", "id", "text"), shift
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 50, gram: int = 16) -> DataFrame:
@@ -394,24 +413,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Rows that repeat an id don't take bytes from each other.  Rows with a null id neither take nor lose bytes.
     An empty table gives an empty result; extra columns don't matter.
     """
-    spark = docs.sparkSession
-    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("text"))
-    most = base.filter("doc IS NOT NULL").groupBy("doc").count().agg(F.max("count")).first()[0] or 1
-    shift = (most - 1).bit_length()
-    if shift:
-        nth = F.row_number().over(Window.partitionBy("doc").orderBy("text")) - 1
-        base = base.select(F.when(F.col("doc").isNotNull(), F.shiftleft("doc", shift).bitwiseOR(nth.cast("long"))).alias("doc"), "text")
-    long = base.filter((F.length("text") >= depth) & F.col("doc").isNotNull())
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("text"))
+    base, shift = numbered(base)
+    long = base.filter((F.length("text") >= depth) & F.col("doc").isNotNull()).select("doc", "text")
 
     runs = long.mapInArrow(lambda x: map_runs(x, depth, gram, shift), _SCHEMA).repartition("key").sortWithinPartitions("key")
     marks = materialize(runs.mapInArrow(lambda x: reduce_runs(x, shift), _MARKS), "runs")
-    del runs
-    release(spark)
     opened = marks.filter(F.col("kind") != REPEAT).groupBy("doc").agg(F.collect_list(F.struct("start", "size", "key", "kind")).alias("runs"))
     again = long.join(opened, "doc").mapInArrow(lambda x: map_opened(x, depth, gram, shift), _OPENED).repartition("key").sortWithinPartitions("key")
     more = materialize(again.mapInArrow(lambda x: reduce_opened(x, depth, gram, shift), _MARKS), "opened")
-    del again, opened
-    release(spark)
     found = marks.filter(F.col("kind") == REPEAT).unionByName(more).groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("runs"))
-    cut = base.join(found, "doc", "left").mapInArrow(lambda x: cut_repeats(x, depth), "doc bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
-    return cut.select(F.shiftright("doc", shift).alias("doc_id") if shift else F.col("doc").alias("doc_id"), "n_bytes", "spans", "kept")
+    cut = base.join(found, "doc", "left").select("id", "text", "runs").mapInArrow(lambda x: cut_repeats(x, depth), "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    return cut.select("doc_id", "n_bytes", "spans", "kept")

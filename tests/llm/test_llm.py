@@ -24,7 +24,7 @@ from granary.llm.maxscore import search
 from granary.llm.ordinal_quality import fit_ordinal, score_quality
 from granary.llm.poisson_mix import poisson_mix
 from granary.llm import simhash as sim
-from granary.llm.simhash import blocks_for, majority, shingle_hashes, simhash_components, trie_links
+from granary.llm.simhash import block_views, majority, sample_views, shingle_hashes, simhash_components, trie_links
 from granary.llm.suffix_dedup import remove_repeats
 
 CLASH = "_row string, kept string, keep_id string, group_size string, text_sha256 string, spans string, rate string, copy string, fp string, component_id string, host string, g string, score string, doc string, t string"
@@ -333,13 +333,13 @@ def links(fps, budget, full=None):
     return [root(i) for i in range(len(fps))]
 
 
-@given(st.lists(st.tuples(st.integers(0, 3), st.lists(st.integers(0, 63), max_size=5)), min_size=2, max_size=60), st.sampled_from([(2, 3), (5, 2), (13, 4)]))
-@settings(max_examples=40, deadline=None)
-def test_trie_join_against_brute_force(picks, setting):
-    budget, n_blocks = setting
+@given(st.lists(st.tuples(st.integers(0, 3), st.lists(st.integers(0, 127), max_size=9)), min_size=2, max_size=60), st.sampled_from([(2, None), (5, None), (13, None), (3, 4)]), st.sampled_from([4, 1 << 16]), st.booleans())
+@settings(max_examples=60, deadline=None)
+def test_trie_join_against_brute_force(picks, setting, leaves, split):
+    budget, full = setting
     base = np.random.default_rng(2).integers(0, 2**63, 4, dtype=np.uint64)
-    fps = sorted({int(base[b]) ^ sum(1 << k for k in set(flips)) for b, flips in picks})
-    x = np.array(fps, np.uint64)[:, None]
+    fps = sorted({(int(base[b]) ^ sum(1 << k for k in set(flips) if k < 64), sum(1 << (k - 64) for k in set(flips) if k >= 64)) for b, flips in picks})
+    x = np.array(fps, np.uint64).reshape(-1, 2)
     up = list(range(len(x)))
 
     def root(i):
@@ -347,19 +347,52 @@ def test_trie_join_against_brute_force(picks, setting):
             i = up[i]
         return i
 
-    for at, width, own in blocks_for(budget, n_blocks):
-        r = x.copy()
-        r[:, 0] = (x[:, 0] << np.uint64(at)) | (x[:, 0] >> np.uint64(64 - at)) if at else x[:, 0]
-        for i, j in trie_links(r, None, width, own, budget):
+    old, sim.LEAVES = sim.LEAVES, leaves
+    try:
+        m = len(x) // 2
+        found = trie_links(x, None, budget, full)
+        if split:
+            found = trie_links(x[:m], None, budget, full) + [(i + m, j + m) for i, j in trie_links(x[m:], None, budget, full)] + [(i, j + m) for i, j in trie_links(x[:m], x[m:], budget, full)]
+        assert split or len({root(i) for i in range(len(x))}) - len(found) >= 1
+        for i, j in found:
             up[max(root(i), root(j))] = min(root(i), root(j))
-    assert [root(i) for i in range(len(x))] == links([(f,) for f in fps], budget)
+    finally:
+        sim.LEAVES = old
+    assert [root(i) for i in range(len(x))] == links(fps, budget, full)
+
+
+def test_views_miss_nothing_within_the_budget():
+    rng = np.random.default_rng(1)
+    for budget in (0, 1, 2, 7, 20):
+        views = block_views(budget)
+        assert sorted(b for v in views for b in v.bits) == list(range(64))
+        x = rng.integers(0, 2**63, (200, 1), dtype=np.uint64)
+        y = x.copy()
+        for r in range(200):
+            for b in rng.choice(64, budget, replace=False):
+                y[r, 0] ^= np.uint64(1 << int(b))
+        assert np.any([v.lead(x) == v.lead(y) for v in views], axis=0).all()
+    # Sampled views: no more pairs at the stated share of differing bits are missed than asked for.
+    views = sample_views(1 << 20, 4, 0.15, 0.01)
+    x = rng.integers(0, 2**63, (3000, 4), dtype=np.uint64)
+    flips = np.packbits(rng.random((3000, 256)) < 0.15, axis=1).view(">u8").astype(np.uint64)
+    assert len(views[0].bits) == 10 and 1 - np.any([v.lead(x) == v.lead(x ^ flips) for v in views], axis=0).mean() < 0.05
+    assert sample_views(100, 4, 0.15, 0.01)[0].bits == ()
+
+
+def test_equal_first_words_stay_small():
+    """Rows that agree in the whole first word are one node of its trie: they are compared in tiles, and joined ones are skipped."""
+    import resource
 
-
-def test_pigeonhole():
-    for budget in range(0, 20):
-        for n in (1, 2, 3, 4, 8):
-            plan = blocks_for(budget, n)
-            assert sum(e + 1 for _, _, e in plan) > budget and (n > budget + 1 or sum(w for _, w, _ in plan) == 64)
+    rng = np.random.default_rng(3)
+    x = np.column_stack([np.full(6000, 5, np.uint64), *(rng.integers(0, 2**63, 6000, dtype=np.uint64) & np.uint64(15) for _ in range(3))])
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert len(trie_links(x, None, 20, 60)) == 5999
+    assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024 < 200
+    # Without any link all pairs are looked at, still in tiles.
+    far = np.column_stack([np.full(3000, 5, np.uint64), *(rng.integers(0, 2**63, 3000, dtype=np.uint64) for _ in range(3))])
+    assert trie_links(far, None, 20, 20) == []
+    assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024 < 200
 
 
 def test_fingerprint_definition():
@@ -389,10 +422,28 @@ def test_simhash(edge, empty, spark):
         for _ in range(rng.randrange(0, 4)):
             w[rng.randrange(len(w))] = "edit"
         rows.append((i, " ".join(w), "a"))
-    for kind in ({}, {"width": 5, "n_words": 4, "budget": 13, "n_blocks": 4, "full": 42}):
-        got = sorted((r["doc_id"], r["component_id"], tuple(r["fp"])) for r in simhash_components(table(spark, rows), **kind).collect())
-        assert [g[1] for g in got] == links([tuple(x for x in g[2]) for g in got], kind.get("budget", 2), kind.get("full"))
-    assert [g[1] for g in got] == [i % 12 for i in range(300)]  # near copies are found by the wide fingerprint
+    got = sorted((r["doc_id"], r["component_id"], tuple(r["fp"])) for r in simhash_components(table(spark, rows)).collect())
+    assert [g[1] for g in got] == links([g[2] for g in got], 2)
+    # Rows that share an id are rows of their own; a component is named by its smallest id.
+    same = table(spark, [(7, rows[0][1], "a"), (7, rows[1][1], "a"), (3, rows[1][1], "a"), (9, rows[0][1], "a"), (None, rows[2][1], "a")])
+    assert sorted((r["doc_id"] or -1, r["component_id"]) for r in simhash_components(same).collect()) == [(-1, None), (3, 3), (7, 3), (7, 7), (9, 7)]
+
+
+@pytest.mark.parametrize("chunk", [4096, 16])
+def test_linked_nodes_in_chunks(spark, monkeypatch, chunk):
+    """Subtrees of many chunks give the components of brute force, groups of near copies and loose rows alike."""
+    monkeypatch.setattr(sim, "CHUNK", chunk)
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**62, 6)
+    fps = sorted({int(base[k % 6]) ^ int(sum(1 << int(b) for b in rng.choice(62, rng.integers(0, 4), replace=False))) for k in range(400)})
+    table_ = spark.createDataFrame([(i, [f]) for i, f in enumerate(fps)], "node bigint, fp array<bigint>")
+    for views, budget in ((block_views(2), 2), ([sim.View(())], 2), ([sim.View((0, 1))], 2)):
+        roots = dict(tuple(r) for r in sim.linked_roots(table_, views, budget).collect())
+        want = links([(f,) for f in fps], budget)
+        got = [roots.get(i, i) for i in range(len(fps))]
+        if views[0].bits != (0, 1):
+            assert got == want
+        assert all(want[i] == want[g] for i, g in enumerate(got))
 
 
 def test_components(spark):
@@ -518,20 +569,51 @@ def test_near_dedup_is_by_similarity(spark, monkeypatch, shingles):
     want = [i for i, _ in sets if up[i] == i]
     got = [r["doc_id"] for r in P.near(spark, table(spark, rows), "").collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
-    # There is something to confirm: the fingerprints alone join more.
-    coarse = {r["component_id"] for r in simhash_components(table(spark, rows), **P.NEAR).collect()}
-    assert len(coarse) < len(want) - 1
+    # There is something to confirm: the candidates' budgets join more.
+    fps = sim.fingerprints(table(spark, rows), width=5, n_words=4).filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node"))
+    coarse = sim.linked_roots(fps, [sim.View(())], 19, 58).filter("node <> root").count()
+    assert fps.count() - coarse < len(want) - 1
+
+
+def test_near_dedup_goes_by_rows(spark):
+    """Rows that share an id are dropped each for its own text; of equal rows one stays."""
+    import corpus_pipeline as P
+
+    words = [f"w{i}" for i in range(300)]
+    t, other = " ".join(words), " ".join(f"v{i}" for i in range(300))
+    rows = [(1, t, "a"), (2, t + " more", "a"), (2, other, "a"), (3, other + " end", "a"), (5, "alone", "b"), (5, "alone", "b"), (None, t, "a")]
+    got = sorted(((r["doc_id"], r["text"]) for r in P.near(spark, table(spark, rows), "").collect()), key=str)
+    assert got == sorted([(1, t), (2, other), (5, "alone"), (None, t)], key=str)
+
+
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """A group that fills many chunks is joined through its smallest id; what that leaves is compared with all."""
+    import corpus_pipeline as P
+
+    monkeypatch.setattr(sim, "SHINGLES", 3000)
+    monkeypatch.setattr(sim, "CHUNK", 64)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(600):
+        w = list(base)
+        w[rng.randrange(200)] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(w), "a"))
+    rows += [(1000 + i, " ".join(f"q{rng.randrange(10**9)}" for _ in range(100)), "a") for i in range(300)]
+    kept = [r["doc_id"] for r in P.near(spark, table(spark, rows), "").collect()]
+    assert sorted(kept) == [0, *range(1000, 1300)]
 
 
 def test_jaccard_links():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 30, rng.integers(1, 25)).astype(np.uint64)) for _ in range(300)]
-    for sides in (None, [i % 3 == 0 for i in range(300)]):
-        want = [(i, j) for i in range(300) for j in range(i) if (sides is None or sides[i] != sides[j]) and len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.8]
-        a, b = sim._Forest(300), sim._Forest(300)
-        for i, j in sim.jaccard_links(range(300), sets, 0.8, sides):
-            assert (max(i, j), min(i, j)) in want
+    every, third = np.ones(300, bool), np.arange(300) % 3 == 0
+    for probe, index in ((every, every), (third, ~third), (third, every)):
+        want = [(i, j) for i in range(300) for j in range(300) if i != j and probe[i] and index[j] and len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.8]
+        a, b = sim._Labels(300), sim._Labels(300)
+        for i, j in sim.jaccard_links(np.arange(300), sets, probe, index, 0.8):
+            assert (i, j) in want or (j, i) in want
             a.link(i, j)
         for i, j in want:
             b.link(i, j)
-        assert [a.root(i) for i in range(300)] == [b.root(i) for i in range(300)]
+        assert a.of.tolist() == b.of.tolist()
