@@ -17,12 +17,15 @@ _LN2 = math.log(2)
 
 def _terms(counts: np.ndarray, total: int) -> np.ndarray:
     """-p ln p for each of the 256 counts; the logarithm of the C library, once per distinct count."""
-    out = np.zeros(256)
-    for c in np.unique(counts):
-        if c:
-            p = float(c) / total
-            out[counts == c] = -p * math.log(p)
-    return out
+    known: dict[int, float] = {0: 0.0}
+    out = []
+    for c in counts.tolist():
+        term = known.get(c)
+        if term is None:
+            p = c / total
+            term = known[c] = -p * math.log(p)
+        out.append(term)
+    return np.array(out)
 
 
 def entropy_of_counts(counts: np.ndarray) -> float:
@@ -108,12 +111,13 @@ def windows(data: Column | str, window: int, step: int | None = None) -> Column:
 
         def one(x: bytes) -> list[dict[str, float]]:
             data = np.frombuffer(x, np.uint8)
-            out = []
-            for at in range(0, len(data) - window + 1, step):
-                c = np.bincount(data[at : at + window], minlength=256)
-                h = float(np.sum(known[c]) / _LN2) + 0.0 if known is not None else entropy_of_counts(c)
-                out.append({"offset": at, "entropy": h})
-            return out
+            offsets = range(0, len(data) - window + 1, step)
+            each = [np.bincount(data[at : at + window], minlength=256) for at in offsets]
+            if known is None:
+                return [{"offset": at, "entropy": entropy_of_counts(c)} for at, c in zip(offsets, each)]
+            # Row by row the terms are added as those of one window are.
+            h = np.sum(known[np.array(each)], axis=1) / _LN2 + 0.0 if each else ()
+            return [{"offset": at, "entropy": float(v)} for at, v in zip(offsets, h)]
 
         for s in batches:
             yield pd.Series([None if x is None else one(x) for x in s])

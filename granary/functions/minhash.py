@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+from .shingle import separators
 from .text import column
 
 MAX = (1 << 32) - 1
@@ -76,6 +77,20 @@ def mixed_hashes(items: list[str | bytes]) -> np.ndarray:
     return h ^ (h >> np.uint32(16))
 
 
+_SPACED = str.maketrans({c: " " for c in separators()})
+_BARE = str.maketrans({c: None for c in separators()})
+
+
+def _grams(units: list[str], joiner: str) -> list[str]:
+    if len(units) < 3:
+        return [joiner.join(units)] if units else []
+    return list({joiner.join(g) for g in zip(units, units[1:], units[2:])})
+
+
+#: The shingles of :mod:`.shingle` in Python; their order doesn't matter to a signature.
+SHINGLERS = {"word": lambda t: _grams([w for w in t.lower().translate(_SPACED).split(" ") if w], " "), "char": lambda t: _grams(list(t.lower().translate(_BARE)), "")}
+
+
 class MinHasher:
     """Signatures of one family of permutations; a signature is an ``array<bigint>`` of ``num_perm`` values below 2**32."""
 
@@ -120,6 +135,27 @@ class MinHasher:
 
         return df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{items}`")).mapInArrow(run, schema)
 
+    def text_signatures(self, df: DataFrame, text: str, mode: str = "word", out: str = "signature") -> DataFrame:
+        """The table with column ``text`` replaced by the signature of its shingles (:mod:`.shingle`), which are cut and hashed in one pass.
+
+        Shingles never become rows or Spark strings; of each only 32 bits of hash are kept.  Null stays null; a text without shingles gives ``empty()``.
+        """
+        cut = SHINGLERS[mode]
+        rest = [c for c in df.columns if c != text]
+        schema = StructType([*[df.schema[c] for c in rest], StructField(out, ArrayType(LongType()))])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 256):
+                    b = whole.slice(at, 256)
+                    sigs = self._minima([None if x is None else cut(x) for x in b.column(b.num_columns - 1).to_pylist()])
+                    full = np.concatenate([s for s in sigs if s is not None]) if any(s is not None for s in sigs) else np.empty(0, np.int64)
+                    ends = np.cumsum([0, *(0 if s is None else len(s) for s in sigs)]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(full, pa.int64()), mask=pa.array([s is None for s in sigs], pa.bool_()))
+                    yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists], [*rest, out])
+
+        return df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").cast("string")).mapInArrow(run, schema)
+
     def empty(self) -> Column:
         return F.array_repeat(F.lit(MAX).cast("long"), self.num_perm)
 

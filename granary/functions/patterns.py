@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, islice
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,6 +37,9 @@ class Matcher:
             p = p if isinstance(p, str) else bytes(p).decode("latin-1")
             if p:
                 self.ids.setdefault(p, i)
+        self.sizes = np.zeros(len(self.patterns), np.int64)
+        for p, i in self.ids.items():
+            self.sizes[i] = len(p)
 
     @property
     def pattern_count(self) -> int:
@@ -52,7 +57,7 @@ class Matcher:
 
         tree = ahocorasick.Automaton()
         for p, i in self.ids.items():
-            tree.add_word(p, (i, len(p)))
+            tree.add_word(p, i)
         if self.ids:
             tree.make_automaton()
         return tree
@@ -66,19 +71,36 @@ class Matcher:
             raise TypeError("these patterns are strings: search a string column")
         return bytes(x).decode("latin-1")
 
-    def _matches(self, tree, x: str | bytes) -> Iterator[tuple[int, int, int]]:
-        """(id, start, end) by end, longest first."""
-        text = self._text(x)
-        if self.ids:
-            for last, (i, n) in tree.iter(text):
-                yield i, last + 1 - n, last + 1
+    def _found(self, tree, x: str | bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, starts and ends of all occurrences, by end, longest first."""
+        hits = list(chain.from_iterable(tree.iter(self._text(x)))) if self.ids else []
+        last, ids = (np.array(hits[k::2], np.int64) for k in range(2))
+        return ids, last + 1 - self.sizes[ids], last + 1
+
+    def _apply(self, kind: str, each) -> Column:
+        """A column of ``each(automaton, text)`` for each text that isn't null."""
+
+        @F.arrow_udf(kind)
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            tree = self._automaton()
+            for b in batches:
+                yield pa.array([None if x is None else each(tree, x) for x in b.to_pylist()])
 
-    def _apply(self, kind: str, each) -> object:
-        @F.pandas_udf(kind)
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return run
+
+    def _lists(self, each) -> Column:
+        """The same where ``each`` gives ids, starts and ends, which stay arrays all the way."""
+
+        @F.arrow_udf(MATCH)
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             tree = self._automaton()
-            for s in batches:
-                yield pd.Series([None if x is None else each(self._matches(tree, x)) for x in s], dtype=object)
+            for b in batches:
+                found = [None if x is None else each(tree, x) for x in b.to_pylist()]
+                ends = np.cumsum([0, *(0 if f is None else len(f[0]) for f in found)]).astype(np.int32)
+                some = [f for f in found if f is not None]
+                cols = [pa.array(np.concatenate([f[k] for f in some]) if some else np.empty(0, np.int64), pa.int64()) for k in range(3)]
+                nulls = pa.array([f is None for f in found], pa.bool_())
+                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(cols, ["pattern_id", "start", "end"]), mask=nulls)
 
         return run
 
@@ -87,32 +109,32 @@ class Matcher:
         if limit is not None and limit < 0:
             raise ValueError("limit must not be negative")
 
-        def each(found):
-            out = []
-            if limit != 0:
-                for i, a, b in found:
-                    out.append({"pattern_id": i, "start": a, "end": b})
-                    if len(out) == limit:
-                        break
-            return out
+        def each(tree, x) -> tuple[np.ndarray, ...]:
+            if limit is None:
+                return self._found(tree, x)
+            hits = list(islice(tree.iter(self._text(x)), limit)) if self.ids else []
+            last, ids = np.array([h[0] for h in hits], np.int64), np.array([h[1] for h in hits], np.int64)
+            return ids, last + 1 - self.sizes[ids], last + 1
 
-        return self._apply(MATCH, each)(column(c))
+        return self._lists(each)(column(c))
 
     def find_longest(self, c: Column | str) -> Column:
         """Leftmost-longest matches that don't overlap."""
 
-        def each(found):
-            out, at = [], 0
-            for a, minus, i in sorted((a, -b, i) for i, a, b in found):
+        def each(tree, x) -> tuple[np.ndarray, ...]:
+            ids, starts, ends = self._found(tree, x)
+            order = np.lexsort((-ends, starts))
+            chosen, at = [], 0
+            for k, a, b in zip(order.tolist(), starts[order].tolist(), ends[order].tolist()):
                 if a >= at:
-                    out.append({"pattern_id": i, "start": a, "end": -minus})
-                    at = -minus
-            return out
+                    chosen.append(k)
+                    at = b
+            return ids[chosen], starts[chosen], ends[chosen]
 
-        return self._apply(MATCH, each)(column(c))
+        return self._lists(each)(column(c))
 
     def count(self, c: Column | str) -> Column:
-        return self._apply("bigint", lambda found: sum(1 for _ in found))(column(c))
+        return self._apply("bigint", lambda tree, x: sum(1 for _ in tree.iter(self._text(x))) if self.ids else len(self._text(x)) * 0)(column(c))
 
     def is_match(self, c: Column | str) -> Column:
         """Whether any pattern occurs."""
@@ -124,4 +146,4 @@ class Matcher:
             for p in self.ids:
                 out = out | F.contains(c, F.lit(p))
             return out
-        return self._apply("boolean", lambda found: next(iter(found), None) is not None)(c)
+        return self._apply("boolean", lambda tree, x: next(tree.iter(self._text(x)), None) is not None)(c)

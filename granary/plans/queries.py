@@ -143,7 +143,7 @@ _EMPTY = ", ".join(["4294967295"] * PERMS)
 
 
 def signed(spark: SparkSession, d: str, family: M.MinHasher = FAMILY) -> DataFrame:
-    return family.signatures(docs(spark, d).select("doc_id", "lang", "source", S.word_shingles("text").alias("items")), "items", "sig")
+    return family.text_signatures(docs(spark, d).select("doc_id", "lang", "source", "text"), "text", "word", "sig")
 
 
 @query(f"WITH {SHINGLES_SQL}, {_ITEMS}, {HASH_SQL.format(item='item', table='items')} SELECT doc_id, CAST(sum(sha) AS BIGINT) AS sum_sha, CAST(sum(h) AS BIGINT) AS sum_mix, CAST(min(h) AS BIGINT) AS least FROM h GROUP BY doc_id")

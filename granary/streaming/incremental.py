@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import pickle
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,7 +26,9 @@ def work_dir(spark: SparkSession) -> str:
     if not base:
         if not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = f"file://{tempfile.gettempdir()}"
+        folder = tempfile.mkdtemp(prefix="granary-")
+        atexit.register(shutil.rmtree, folder, True)
+        base = f"file://{folder}"
     return f"{base.rstrip('/')}/granary-stream-{uuid.uuid4().hex}"
 
 
@@ -50,6 +54,9 @@ def drain(stream: DataFrame, mode: str) -> DataFrame:
 
     query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
     query.awaitTermination()
+    # All there is has been read, so the state is not needed again; the rows are, until the result has been.
+    state = spark._jvm.org.apache.hadoop.fs.Path(f"{where}/state")
+    state.getFileSystem(spark._jsc.hadoopConfiguration()).delete(state, True)
     out = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", IntegerType())])).parquet(f"{where}/out")
     if mode == "complete":
         out = out.filter(F.col("batch") == query.lastProgress["batchId"]) if query.lastProgress else out

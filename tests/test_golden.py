@@ -57,6 +57,15 @@ def test_shingle_digest_and_separators(spark):
         shingle.shingles("s", "line")
 
 
+def test_text_signatures(spark):
+    texts = ["The quick  brown fox, the QUICK brown fox", "two words", "one", "", " . ", None, "\u6771\u4eac\u3067\u3001\u98df\u3079\u308b", "\u0130stanbul \u0130 x"]
+    df = strings(spark, *texts)
+    m = minhash.MinHasher(8)
+    for mode, cut in (("word", shingle.word_shingles), ("char", shingle.char_shingles)):
+        want = {r["i"]: r["signature"] for r in m.signatures(df.select("i", cut("s").alias("items")), "items").collect()}
+        assert {r["i"]: r["signature"] for r in m.text_signatures(df, "s", mode).collect()} == want
+
+
 def test_paragraphs_of_any_white_space(spark):
     one, two = "\u6bb5\u843d" * 20, "\u7b2c\u4e8c" * 20
     assert values(strings(spark, f"\u3000{one}\n\u3000\n{two}\u2028"), shingle.paragraphs("s")) == [[one, two]]
@@ -208,7 +217,7 @@ def test_pattern_types():
 def test_matches_against_naive(pats, hay):
     m = patterns.Matcher(pats)
     naive = sorted(((a + len(p), a, i) for p, i in m.ids.items() for a in range(len(hay)) if hay.startswith(p, a)))
-    assert [(e, a, i) for i, a, e in m._matches(m._automaton(), hay)] == naive
+    assert [(e, a, i) for i, a, e in zip(*(x.tolist() for x in m._found(m._automaton(), hay)))] == naive
     assert isinstance(m._automaton(), ahocorasick.Automaton)
 
 
