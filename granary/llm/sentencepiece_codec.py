@@ -7,24 +7,28 @@ when the model is loaded, words are encoded once and remembered; new words are e
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import struct
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Remembered
+
 META = "▁"
 #: Piece types and model types of the protobuf: fixed values.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Words remembered by a worker (of at most so many characters, so some 20 MB in all), and characters encoded in one call.
-WORDS, WORD_CHARS, BATCH_CHARS = 60_000, 64, 1 << 20
+#: Words remembered by a worker in each of two generations (of at most so many characters, so some 50 MB in all), words encoded as one
+#: text, and characters encoded in one call.
+WORDS, WORD_CHARS, LINE_WORDS, BATCH_CHARS = 120_000, 64, 64, 1 << 21
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes | float]]:
@@ -143,9 +147,12 @@ class Codec:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         self.model = SentencePieceModel(proto)
-        self.whole = build_tokenizer(self.model)
+        self.by_words = self.model.by_word and not (self.model.charsmap or self.model.trim)
+        # These normalisers look across words: then whole texts are left to the library.
+        self.whole = None if self.by_words else build_tokenizer(self.model)
         self.inner = build_tokenizer(self.model, whole_text=False)
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words = Remembered(WORDS)
+        self.opens = np.array([p.startswith(META) for p in self.model.pieces])
         self.find = re.compile(f"{META}*[^{META}]+|{META}+").findall
         self.bytes = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else self.model.unk_surface if t == UNKNOWN else p.replace(META, " ").encode() for p, t in zip(self.model.pieces, self.model.types)]
 
@@ -160,20 +167,46 @@ class Codec:
                 yield tuple(e.ids)
             at = end
 
+    def _words(self, words: Sequence[str]) -> list[bytes]:
+        """Ids of each word, as bytes of 32-bit integers.
+
+        Words of one marker and more are encoded many at a time, as the text they make: where a piece starts with the marker, so does a word.
+        """
+        plain = [w for w in words if len(w) > 1 and w[0] == META and w.find(META, 1) < 0]
+        found: dict[str, bytes] = {}
+        lines = [plain[i : i + LINE_WORDS] for i in range(0, len(plain), LINE_WORDS)]
+        for line, ids in zip(lines, self._batches(self.inner, ["".join(x) for x in lines])):
+            ids = np.array(ids, np.int32)
+            at = np.flatnonzero(self.opens[ids])
+            if len(at) == len(line) and not at[0]:
+                raw, ends = ids.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(ids)]
+                found.update(zip(line, (raw[u:v] for u, v in zip([0, *ends], ends))))
+        rest = [w for w in words if w not in found]
+        found.update(zip(rest, (np.array(x, np.int32).tobytes() for x in self._batches(self.inner, rest))))
+        return [found[w] for w in words]
+
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         m = self.model
-        if not m.by_word or m.charsmap or m.trim:
-            # These normalisers look across words: leave the whole text to the library.
+        if not self.by_words:
             return [np.array(x, np.int32) for x in self._batches(self.whole, texts)]
         split = [self.find(((META if m.dummy_prefix and t else "") + t).replace(" ", META)) for t in texts]
         known = self.words
-        new = list({w for ws in split for w in ws if w not in known})
-        here = dict(zip(new, self._batches(self.inner, new)))
-        out = [np.fromiter(chain.from_iterable(known[w] if w in known else here[w] for w in ws), np.int32) for ws in split]
-        if len(known) + len(here) > WORDS:
-            known.clear()
-        known.update((w, ids) for w, ids in here.items() if len(w) <= WORD_CHARS)
-        return out
+        here: dict[str, bytes] = {}
+        new = []
+        for ws in split:
+            for w in ws:
+                if w not in here:
+                    got = known[w]
+                    if got is None:
+                        new.append(w)
+                        here[w] = b""
+                    else:
+                        here[w] = got
+        for w, got in zip(new, self._words(new)):
+            here[w] = got
+            if len(w) <= WORD_CHARS:
+                known.keep(w, got)
+        return [np.frombuffer(b"".join(map(here.__getitem__, ws)), np.int32) for ws in split]
 
     def decode(self, ids: Sequence[int]) -> str:
         """Text of the ids; bytes that are no UTF-8 become U+FFFD, the marker in front is taken off."""
@@ -192,9 +225,10 @@ def _codec(proto: bytes, threads: int) -> Codec:
     return Codec(proto, threads)
 
 
-def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", threads: int = 2, docs_at_once: int = 256) -> DataFrame:
-    """``doc_id, n_tokens, ids: array<int>, round_trip`` of every row and its whole text.
+def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", threads: int = 2, docs_at_once: int = 1024) -> DataFrame:
+    """``doc_id, n_tokens, ids: array<int>, round_trip, decoded_sha256`` of every row and its whole text.
 
+    The ids are decoded again; ``decoded_sha256`` is the digest of the text that gives, as lowercase hex.
     ``round_trip`` says whether decoding the ids gives the very text back; it is false where the text holds the marker U+2581, which
     stands for a space in pieces.  The model file is read on the driver and
     sent along, so executors need no copy of it.  A null text counts as empty and has no tokens; null ids stay null;
@@ -206,19 +240,29 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(proto, threads)
         for b in batches:
-            for at in range(0, b.num_rows, docs_at_once):
-                part = b.slice(at, docs_at_once)
+            # Portions of so many rows, and of so many bytes if more than one.
+            size = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
+            cuts, held = [0], 0
+            for i, n in enumerate(size.tolist()):
+                if i > cuts[-1] and (held + n > BATCH_CHARS or i - cuts[-1] >= docs_at_once):
+                    cuts.append(i)
+                    held = 0
+                held += n
+            for at, end in zip(cuts, [*cuts[1:], b.num_rows]):
+                part = b.slice(at, end - at)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 ids = codec.encode(texts)
-                same = [codec.round_trips(t, i.tolist()) for t, i in zip(texts, ids)]
+                decoded = [codec.decode(i.tolist()) for i in ids]
+                same = [d == t for d, t in zip(decoded, texts)]
+                digests = [hashlib.sha256(d.encode("utf-8", "surrogatepass")).hexdigest() for d in decoded]
                 ends = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
                 flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32())), pa.array(same)], ["doc_id", "n_tokens", "ids", "round_trip"]
+                    [part.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32())), pa.array(same), pa.array(digests)], ["doc_id", "n_tokens", "ids", "round_trip", "decoded_sha256"]
                 )
 
     two = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    return two.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids array<int>, round_trip boolean")
+    return two.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids array<int>, round_trip boolean, decoded_sha256 string")
 
 
 def decode_documents(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids", threads: int = 2) -> DataFrame:
