@@ -355,10 +355,10 @@ def contamination_items(spark, d):
     return rows.groupBy("doc_id").agg(F.countDistinct("pattern_id").alias("n"), F.min("pattern_id").alias("least"))
 
 
-@query(f"WITH {FOUND_SQL.replace('FROM documents, lens', 'FROM part_names, lens').replace('lens AS', 'part_names AS (SELECT p_partkey AS doc_id, p_name AS text FROM part), lens AS', 1)} SELECT doc_id AS p_partkey, pattern_id, s AS start, e AS \"end\" FROM hit")
+@query(f"WITH {FOUND_SQL.replace('FROM documents, lens', 'FROM benchmark_texts, lens').replace('lens AS', 'benchmark_texts AS (SELECT item_id AS doc_id, text FROM benchmark), lens AS', 1)} SELECT doc_id AS item_id, pattern_id, s AS start, e AS \"end\" FROM hit")
 def pattern_join_form(spark, d):
     known = distinct_patterns(spark.createDataFrame([(i, p) for i, p in enumerate(PATTERNS)], "id bigint, pattern string"), "id", "pattern")
-    return match_rows_by_join(read_table(spark, d, "part"), "p_partkey", "p_name", known)
+    return match_rows_by_join(read_table(spark, d, "benchmark"), "item_id", "text", known)
 
 
 @query("""SELECT doc_id, CAST(CASE WHEN strpos(text, 'é') > 0 THEN strlen(split_part(text, 'é', 1)) ELSE -1 END AS BIGINT) AS first_byte, CAST(strpos(text, 'é') - 1 AS BIGINT) AS first_char FROM documents""")
