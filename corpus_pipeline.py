@@ -21,12 +21,19 @@ SIMILARITY, SHINGLE_WORDS = 0.8, 5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    Null texts count as empty and are judged like any other; repeated rows share their fate; without ratings of two grades, and in an empty table,
+    nothing is rejected.  Extra columns stay as they are.
+    """
     return score_quality(docs, ratings(spark, sf_dir)).filter("kept").select("_row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest id stays."""
+    """Of equal texts the one with the largest id stays; null texts equal empty ones.
+
+    Of rows that also share the id one stays, by its whole content; rows without an id stay only where no equal text has one, and then one of them.
+    """
     return exact_dedup(docs).filter("kept").select("_row.*")
 
 
@@ -49,12 +56,15 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All sources weigh the same; as many rows out as in, on average, in a global random order."""
+    """All sources weigh the same; as many rows out as in, on average, in a global random order.
+
+    The null source is one like any other; rows that share an id share the number of copies, rows without an id draw by their content.
+    """
     return poisson_mix(docs, seed=MIX_SEED).select("_row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with proof that they decode to its text."""
+    """Token ids of every document, with proof that they decode to its text.  A null text has none; repeated rows are repeated."""
     return encode_documents(docs, SENTENCEPIECE_MODEL)
 
 

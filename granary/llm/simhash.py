@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
-from .components import connected_components
+from .components import connected_components, stars
 
 #: Fixed value: the seed of the shingle hash.
 SEED = 42
@@ -227,7 +227,7 @@ def linked_nodes(fps: DataFrame, views: Sequence[View], budget: int, full: int |
                 found = trie_links(fp[p], fp[q] if len(q) else None, budget, full)
                 if found:
                     i, j = np.array(found).T
-                    yield pa.RecordBatch.from_arrays([pa.array(node[p][i]), pa.array((node[q] if len(q) else node)[j])], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in stars(node[p][i], (node[q] if len(q) else node)[j])], ["a", "b"])
 
     def links(rows: DataFrame, *keys: str) -> DataFrame:
         packed = rows.groupBy(*keys).agg(F.collect_list(F.struct("node", "fp", "one")).alias("rows")).filter("size(rows) > 1")
