@@ -11,17 +11,18 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh32_intdigest
 
-from .common import boxed
+from .common import Remembered, boxed
 
 #: Hashed features, and words remembered by a worker.
-DIMENSIONS, REMEMBERED = 1 << 18, 50_000
+DIMENSIONS, REMEMBERED = 1 << 18, 120_000
 #: Slots in front for word shapes and repetition, which say the same of short and long texts.
 SHARES = 1 << 12
 #: By so much at least a common word must shift the share of rows above some grade.
@@ -33,22 +34,31 @@ _RUNS = re.compile(r"(.)\1+", re.DOTALL)
 
 
 def _slot(kind: str, name: str) -> int:
-    import xxhash
-
-    h = xxhash.xxh32_intdigest(f"{kind}:{name}".encode("utf-8", "surrogatepass"), 7)
+    h = xxh32_intdigest(f"{kind}:{name}".encode("utf-8", "surrogatepass"), 7)
     return h % SHARES if kind in "sr" else SHARES + h % (DIMENSIONS - SHARES)
 
 
-def _shape(word: str) -> str:
-    """Letters to a or A, digits to 0, runs shortened to one, at most eight classes."""
-    mapped = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64])
-    return _RUNS.sub(r"\1", mapped)[:8]
+class _Classes(dict):
+    """Letters to a or A, digits to 0, other characters to themselves."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = out = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+        return out
+
+
+_CLASSES = _Classes()
+
+
+@lru_cache(maxsize=1 << 15)
+def _shape_slot(classes: str) -> int:
+    return _slot("s", _RUNS.sub(r"\1", classes)[:8])
 
 
 def _word_slots(word: str) -> tuple[int, tuple[int, ...], int]:
     """Slots of the bare word, of its beginnings and of its shape."""
-    bare = _EDGES.sub("", word).lower()
-    return _slot("w", bare), tuple(_slot("p", bare[:n]) for n in BEGINNINGS if len(bare) >= n), _slot("s", _shape(word))
+    bare = word.lower() if word[:1].isalnum() and word[-1:].isalnum() else _EDGES.sub("", word).lower()
+    return _slot("w", bare), tuple([_slot("p", bare[:n]) for n in BEGINNINGS if len(bare) >= n]), _shape_slot(word[:64].translate(_CLASSES))
 
 
 def _variety(n_words: int, n_distinct: int) -> int:
@@ -187,36 +197,38 @@ def score_quality(
     model = fit_ordinal(row, col, val, grades, n_grades, most_share=most_share, balance=balance)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 1 MB, whatever the input
 
-    @F.pandas_udf("double")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         weights = sent.value.weights
-        # Most words have no weight: remember those slots of a word that have one, and the weight of its shape.
-        known: dict[str, tuple[tuple[int, ...], tuple[int, ...], float]] = {}
+        # Most words have no weight: remember those slots of a word that have one, and the weight of its shape; equal answers are one object.
+        known, forms = Remembered(REMEMBERED), {}
+
+        def look_up(word: str) -> tuple[tuple[int, ...], tuple[int, ...], float]:
+            w, ps, s = _word_slots(word)
+            got = ((w,) if weights[w] else (), tuple(x for x in ps if weights[x]), float(weights[s]))
+            if len(word) <= 64:
+                got = forms.setdefault(got, got)
+                known.keep(word, got)
+            return got
+
+        def one(text: str | None) -> float:
+            counts = Counter((text or "").split())
+            n = sum(counts.values())
+            present: set[int] = set()
+            starts: Counter[int] = Counter()
+            shapes = 0.0
+            for word, times in counts.items():
+                found, begun, shape = known[word] or look_up(word)
+                if found:
+                    present.update(found)
+                for x in begun:
+                    starts[x] += times
+                shapes += times * shape
+            total = float(sum(weights[x] for x in sorted(present))) + float(sum(weights[x] * np.log1p(k) for x, k in sorted(starts.items())))
+            return total + 8.0 * shapes / max(1, n) + float(weights[_variety(n, len(counts))])
+
         for batch in texts:
-            out = np.zeros(len(batch))
-            for i, text in enumerate(batch):
-                counts = Counter((text or "").split())
-                n = sum(counts.values())
-                present: set[int] = set()
-                starts: Counter[int] = Counter()
-                shapes = 0.0
-                for word, times in counts.items():
-                    got = known.get(word)
-                    if got is None:
-                        w, ps, s = _word_slots(word)
-                        got = ((w,) if weights[w] else (), tuple(x for x in ps if weights[x]), float(weights[s]))
-                        if len(word) <= 64:
-                            known[word] = got
-                    if got[0]:
-                        present.update(got[0])
-                    for x in got[1]:
-                        starts[x] += times
-                    shapes += times * got[2]
-                total = float(sum(weights[x] for x in sorted(present))) + float(sum(weights[x] * np.log1p(k) for x, k in sorted(starts.items())))
-                out[i] = total + 8.0 * shapes / max(1, n) + float(weights[_variety(n, len(counts))])
-                if len(known) > REMEMBERED:
-                    known.clear()
-            yield pd.Series(out)
+            yield pa.array([one(t) for at in range(0, len(batch), 256) for t in batch.slice(at, 256).to_pylist()], pa.float64())
 
     cuts = [float(x) for x in model.thresholds]
     scored = base.withColumn("_score", score(F.col("_row").getField(text_col).cast("string")))
