@@ -10,8 +10,9 @@ its group is settled:
 2. Second digit: the hash of the whole run.  Runs equal in all bytes are settled together: all but those of the smallest
    document are repeats.  Runs whose bucket holds nothing else leave here.
 3. Last digits: the few runs that share a bucket with different runs travel once more, with their bytes, and are
-   opened where they meet; their windows are grouped by two independent 64-bit hashes of all their bytes.  Windows of
-   crowded buckets travel each on its own instead, so that no bucket grows with the input.
+   opened where they meet; their windows are sorted by their bytes, eight a pass, and a window that is alone in its group leaves
+   (:func:`radix_groups`).  Windows of crowded buckets travel each on its own instead, so that no bucket grows with the
+   input; these are grouped by two independent 64-bit hashes of all their bytes.
 
 Records of equal runs are settled within a chunk of the map task first, so a passage that a third of
 all documents share sends a few records from each chunk, not one from each document.
@@ -19,10 +20,11 @@ all documents share sends a few records from each chunk, not one from each docum
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ _POWER = np.uint64(0xD6E8FEB86659FD93)
 #: Bytes hashed at once, and runs settled at once; both bound a task's memory.
 PIECE = 1 << 19
 RUNS = 1 << 19
+#: Rows of a batch looked at in one go, and bytes of opened runs sorted at once.
+BATCH_ROWS, OPENED_BYTES = 512, 1 << 21
 #: A bucket with more different runs than this within one chunk is opened at once.
 CROWDED = 64
 
@@ -174,6 +178,13 @@ def _doc_key(doc: np.ndarray) -> np.ndarray:
     return _mix(doc.view(np.uint64) + np.uint64(_BASE))
 
 
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of BATCH_ROWS rows at most: texts take several times their size in Python."""
+    for b in batches:
+        for at in range(0, b.num_rows, BATCH_ROWS):
+            yield b.slice(at, BATCH_ROWS)
+
+
 def map_runs(batches: Iterator[pa.RecordBatch], depth: int, gram: int, shift: int = 0) -> Iterator[pa.RecordBatch]:
     """First pass in a map task: (doc_id, text) to records, settled chunk by chunk."""
     held: list[tuple[np.ndarray, ...]] = []
@@ -210,7 +221,7 @@ def map_runs(batches: Iterator[pa.RecordBatch], depth: int, gram: int, shift: in
     owner: list[int] = []
     offset: list[int] = []
     total = 0
-    for b in batches:
+    for b in _portions(batches):
         for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if text is None or doc is None or len(text) < depth:
                 continue
@@ -229,23 +240,25 @@ def map_runs(batches: Iterator[pa.RecordBatch], depth: int, gram: int, shift: in
     yield from flush()
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch], rows_at_once: int) -> Iterator[pa.Table]:
-    """Records sorted by key, in portions of whole buckets; only the last bucket is held between portions."""
+def _by_bucket(batches: Iterator[pa.RecordBatch], at_once: int, weight: Callable[[pa.Table], np.ndarray] | None = None) -> Iterator[pa.Table]:
+    """Records sorted by key, in portions of whole buckets of a weight of about ``at_once`` (of each record: 1); only the last bucket is held between portions."""
     waiting: list[pa.Table] = []
-    rows = 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        waiting.append(pa.Table.from_batches([b]))
-        rows += b.num_rows
-        if rows < rows_at_once:
-            continue
-        t = pa.concat_tables(waiting)
-        key = t.column(0).to_numpy()
-        cut = int(np.searchsorted(key, key[-1], side="left"))
-        waiting, rows = [t.slice(cut)], len(key) - cut
-        if cut:
-            yield t.slice(0, cut)
+    held = 0
+    for whole in batches:
+        step = max(1, whole.num_rows) if weight is None else BATCH_ROWS
+        for at in range(0, whole.num_rows, step):
+            t = pa.Table.from_batches([whole.slice(at, step)])
+            waiting.append(t)
+            held += len(t) if weight is None else int(weight(t).sum())
+            if held < at_once or t.column(0)[-1] == waiting[0].column(0)[0]:
+                continue
+            t = pa.concat_tables(waiting)
+            key = t.column(0).to_numpy()
+            cut = int(np.searchsorted(key, key[-1], side="left"))
+            waiting = [t.slice(cut)]
+            held = len(key) - cut if weight is None else int(weight(waiting[0]).sum())
+            if cut:
+                yield t.slice(0, cut)
     if waiting:
         yield pa.concat_tables(waiting)
 
@@ -276,20 +289,61 @@ def reduce_runs(batches: Iterator[pa.RecordBatch], shift: int = 0) -> Iterator[p
         yield _marks(np.where(crowded[o], CROWD, OPEN), s["doc"][o], s["start"][o], s["size"][o], s["key"][o])
 
 
-def _windows(parts: list[bytes], owner: np.ndarray, offset: np.ndarray, depth: int, gram: int) -> tuple[np.ndarray, ...]:
-    """One record for each window of the parts: two hashes of its bytes, document, first byte, 1."""
+def _places(parts: list[bytes], owner: np.ndarray, offset: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
+    """The parts one after the other, and of each of their windows its place there, its part, document and first byte."""
     buf = np.frombuffer(b"".join(parts), np.uint8)
     size = np.fromiter(map(len, parts), np.int64, len(parts))
     begin = np.cumsum(size) - size
     count = size - depth + 1
     which = np.repeat(np.arange(len(parts)), count)
     at = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + begin[which]
+    return buf, at, which, owner[which], at - begin[which] + offset[which]
+
+
+def radix_groups(buf: np.ndarray, at: np.ndarray, bucket: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Depth-limited radix sort of the windows at ``at``: those that are not alone in their group, in the order of bucket and bytes, and the groups.
+
+    Each pass takes the next eight bytes, most significant first, sorts what is left by group and digit, and lets the windows go
+    whose group has become one.  Windows of a group that is left after ``depth`` bytes are equal in all of them.
+    """
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)]).astype(np.uint64)
+    eight = np.zeros(len(buf) + 1, np.uint64)
+    for k in range(8):
+        eight = (eight << np.uint64(8)) | padded[k : k + len(eight)]
+    left, group = np.arange(len(at)), np.unique(bucket, return_inverse=True)[1].astype(np.int64)
+    for d in range(0, depth, 8):
+        digit = eight[at[left] + d] >> np.uint64(8 * max(0, 8 - (depth - d)))
+        o = np.lexsort((digit, group))
+        left, group, digit = left[o], group[o], digit[o]
+        new = np.ones(len(left), bool)
+        new[1:] = (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])
+        group = np.cumsum(new) - 1
+        stays = np.bincount(group, minlength=1)[group] > 1
+        left, group = left[stays], group[stays]
+    return left, group
+
+
+def repeated_windows(parts: list[bytes], bucket: np.ndarray, owner: np.ndarray, offset: np.ndarray, depth: int, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, first byte) of the windows that a smaller document of the same bucket has too."""
+    buf, at, which, doc, start = _places(parts, owner, offset, depth)
+    left, group = radix_groups(buf, at, bucket[which], depth)
+    if not len(left):
+        return doc[:0], start[:0]
+    own = doc[left] >> shift
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    least = np.repeat(np.minimum.reduceat(own, first), np.diff(np.append(first, len(group))))
+    return doc[left][own > least], start[left][own > least]
+
+
+def _windows(parts: list[bytes], owner: np.ndarray, offset: np.ndarray, depth: int, gram: int) -> tuple[np.ndarray, ...]:
+    """One record for each window of the parts: two hashes of its bytes, document, first byte, 1."""
+    buf, at, _, doc, start = _places(parts, owner, offset, depth)
     key, h = _rolling(buf, depth)[at], _rolling(buf, gram)
     # The second hash is made of substrings that cover the window.
     whole = h[at]
     for k in [*range(gram, depth - gram, gram), depth - gram]:
         whole = _mix(whole * _M2 + h[at + k])
-    return key, whole, owner[which], at - begin[which] + offset[which], np.ones(len(at), np.int64)
+    return key, whole, doc, start, np.ones(len(at), np.int64)
 
 
 def map_opened(batches: Iterator[pa.RecordBatch], depth: int, gram: int, shift: int = 0) -> Iterator[pa.RecordBatch]:
@@ -309,7 +363,7 @@ def map_opened(batches: Iterator[pa.RecordBatch], depth: int, gram: int, shift:
         for batch in (_records(REPEAT, _doc_key(d), np.zeros(len(d), np.uint64), d, a, n), _records(CROWD, *(s[k][~r] for k in ("key", "whole", "doc", "start", "size")))):
             yield with_content(batch, [None] * batch.num_rows)
 
-    for b in batches:
+    for b in _portions(batches):
         docs, texts, opened = b.column(0).to_pylist(), b.column(1), b.column(2)
         ends = np.concatenate([[0], np.cumsum(opened.value_lengths().to_numpy(zero_copy_only=False))])
         each = opened.flatten()
@@ -334,25 +388,26 @@ def map_opened(batches: Iterator[pa.RecordBatch], depth: int, gram: int, shift:
         yield from flush()
 
 
-def reduce_opened(batches: Iterator[pa.RecordBatch], depth: int, gram: int, shift: int = 0) -> Iterator[pa.RecordBatch]:
-    """Last pass: runs are opened where those of their bucket meet, and windows grouped by all their bytes."""
-    for t in _by_bucket(batches, 40_000):
+def reduce_opened(batches: Iterator[pa.RecordBatch], depth: int, shift: int = 0) -> Iterator[pa.RecordBatch]:
+    """Last pass: runs are opened where those of their bucket meet, and their windows sorted by bytes; single windows are grouped by their hashes."""
+    for t in _by_bucket(batches, OPENED_BYTES, lambda t: pc.fill_null(pc.binary_length(t.column(4)), 16).to_numpy()):
         key, whole, doc, kind, start, size = _unpacked(t)
         p = kind == REPEAT
         yield _marks(REPEAT, doc[p], start[p], size[p])
         p = kind == CROWD
-        found = [(key[p], whole[p], doc[p], start[p], size[p])]
+        if p.any():
+            s = settle(key[p], whole[p], doc[p], start[p], size[p], shift)
+            r = s["repeat"]
+            yield _marks(REPEAT, *_merged(s["doc"][r], s["start"][r], s["size"][r]))
         p = np.flatnonzero(kind == RUN)
         if len(p):
-            found.append(_windows(t.column(4).take(pa.array(p)).to_pylist(), doc[p], start[p], depth, gram))
-        s = settle(*(np.concatenate(c) for c in zip(*found)), shift)
-        r = s["repeat"]
-        yield _marks(REPEAT, *_merged(s["doc"][r], s["start"][r], s["size"][r]))
+            found, at = repeated_windows(t.column(4).take(pa.array(p)).to_pylist(), key[p], doc[p], start[p], depth, shift)
+            yield _marks(REPEAT, *_merged(found, at, np.ones(len(at), np.int64)))
 
 
 def cut_repeats(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
     """(doc, text, repeated windows) to the removed spans and the bytes that stay."""
-    for b in batches:
+    for b in _portions(batches):
         spans, kept = [], []
         for text, runs in zip(b.column(1), b.column(2)):
             data = text.as_py()
@@ -421,7 +476,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marks = materialize(runs.mapInArrow(lambda x: reduce_runs(x, shift), _MARKS), "runs")
     opened = marks.filter(F.col("kind") != REPEAT).groupBy("doc").agg(F.collect_list(F.struct("start", "size", "key", "kind")).alias("runs"))
     again = long.join(opened, "doc").mapInArrow(lambda x: map_opened(x, depth, gram, shift), _OPENED).repartition("key").sortWithinPartitions("key")
-    more = materialize(again.mapInArrow(lambda x: reduce_opened(x, depth, gram, shift), _MARKS), "opened")
+    more = materialize(again.mapInArrow(lambda x: reduce_opened(x, depth, shift), _MARKS), "opened")
     found = marks.filter(F.col("kind") == REPEAT).unionByName(more).groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("runs"))
     cut = base.join(found, "doc", "left").select("id", "text", "runs").mapInArrow(lambda x: cut_repeats(x, depth), "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
     return cut.select("doc_id", "n_bytes", "spans", "kept")
