@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 #: Rows of a posting block; non-essential terms probed in one step.
-BLOCK, STEP = 512, 8
+BLOCK, STEP = 1024, 16
 #: Rows of a shard: a share of all, within these bounds, of which the upper one bounds a task's memory.
-SHARES, LEAST_ROWS, MOST_ROWS = 64, 1 << 10, 1 << 17
+SHARES, LEAST_ROWS, MOST_ROWS = 16, 1 << 10, 1 << 17
 
 
 def essential_terms(rest: np.ndarray, least: float, theta: float | None) -> int:
@@ -68,8 +68,12 @@ def top_k(ids: np.ndarray, columns: np.ndarray, query_id: int, query: np.ndarray
             if done >= len(q) or not len(live):
                 break
             to = min(done + STEP, len(q))
-            score = score + q[done:to] @ columns[order[done:to, None], at + live[None, :]]
-            made += (to - done) * len(live)
+            if 2 * len(live) >= len(own):  # then a whole block is cheaper than picking rows
+                score = score + (q[done:to] @ columns[order[done:to], at : at + BLOCK])[live]
+                made += (to - done) * len(own)
+            else:
+                score = score + q[done:to] @ columns[order[done:to, None], at + live[None, :]]
+                made += (to - done) * len(live)
             done = to
         if work is not None:
             work.append((len(own), split, made))

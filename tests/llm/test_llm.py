@@ -9,7 +9,7 @@ import struct
 import duckdb
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -77,6 +77,27 @@ def test_quality(spark, edge, empty):
     assert score_quality(empty, ratings).count() == 0
 
 
+def test_held_out_accuracy():
+    """Fitted on four fifths of the labelled documents and judged on the others, five times."""
+    from granary.llm import ordinal_quality as oq
+
+    folder = "/root/testdata/sf0.1"
+    rows = duckdb.sql(f"SELECT text, quality, toxic FROM '{folder}/documents.parquet' JOIN '{folder}/labels.parquet' USING (doc_id) WHERE quality IS NOT NULL AND toxic IS NOT NULL ORDER BY doc_id").fetchall()
+    found = [oq.features(t) for t, _, _ in rows]
+    y = np.array([0 if q == 0 else 1 if t else 2 for _, q, t in rows])
+    toxic = np.array([t for _, _, t in rows])
+    fold = np.random.default_rng(0).integers(0, 5, len(rows))
+    kept = np.zeros(len(rows), bool)
+    for f in range(5):
+        train = np.flatnonzero(fold != f).tolist()
+        row = np.repeat(np.arange(len(train)), [len(found[i]) for i in train])
+        col, val = (np.fromiter((x for i in train for x in (found[i] if k == 0 else found[i].values())), kind) for k, kind in ((0, np.int64), (1, float)))
+        m = oq.fit_ordinal(row, col, val, y[train], 3, most_share=0.1, balance=0.5)
+        for i in np.flatnonzero(fold == f).tolist():
+            kept[i] = m.above(np.array([sum(float(m.weights[k]) * v for k, v in found[i].items())]))[0, 1] >= 0.5
+    assert kept[y == 2].mean() >= 0.98 and (~kept[y == 0]).mean() >= 0.97 and (~kept[toxic == 1]).mean() >= 0.9
+
+
 def test_grades(spark):
     df = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (1, 0), (None, 0), (1, None)], "q int, t int")
     assert [r[0] for r in df.select(Q.grade_of(F.col("q"), F.col("t"))).collect()] == [0, 0, 1, 2, None, None]
@@ -131,6 +152,76 @@ def test_deep_and_broken_html():
     assert html_x.extract_group(["<script>x", "<", "<!--", None, "</p></div>text"]) == ["", "<", "", "", "text"]
 
 
+def random_tree(rng, depth=4):
+    x = html_x.Node(rng.choice(["div", "p", "ul", "b"]))
+    x.items = [random_tree(rng, depth - 1) if rng.random() < 0.7 else f"t{rng.randrange(5)}" for _ in range(rng.randrange(0, 5))] if depth else ["leaf"]
+    return x
+
+
+def as_wrapper(x):
+    w = html_x.Wrapper(x.label)
+    w.children = [as_wrapper(c) for c in html_x._kids(x)]
+    return w
+
+
+def best_match(w, x):
+    """Simple tree matching over runs of equal siblings, by trying every order-preserving match."""
+    left, right = html_x._wrapper_runs(w.children), html_x._runs(html_x._kids(x))
+
+    def best(i, j):
+        if i == len(left) or j == len(right):
+            return 0
+        out = max(best(i + 1, j), best(i, j + 1))
+        if left[i][0].label == right[j][0].label:
+            out = max(out, best_match(left[i][0], right[j][0]) * min(len(left[i]), len(right[j])) + best(i + 1, j + 1))
+        return out
+
+    return 1 + best(0, 0)
+
+
+def test_tree_matching_against_brute_force(monkeypatch):
+    rng = random.Random(4)
+    for _ in range(150):
+        a, b = random_tree(rng), random_tree(rng)
+        b.tag = b.label = a.label
+        assert html_x.Matcher().similarity(as_wrapper(a), b) == best_match(as_wrapper(a), b)
+        w, at = as_wrapper(a), {}
+        html_x.align(w, b, at)
+        assert len(at) == len([x for x in html_x._below(b) if x.tag not in html_x.VOID]) and all(v.label == x.label for x in html_x._below(b) for v in [at[id(x)]])
+        assert html_x.Matcher().similarity(w, b) == best_match(w, b) == best_match(as_wrapper(b), b)
+
+
+def test_wrapper_alone_tells_articles(spark):
+    """Without any role: class words unknown and articles, menus and footers all called div, the wrapper finds the article also where a page's advert is longer."""
+    rng = random.Random(6)
+    words = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    texts = [words(1 if i % 7 == 0 else 60) for i in range(40)]
+    pages = [f"<body><div><ul>{''.join(f'<li><a href=/{words(1)}>{words(1)}</a></li>' for _ in range(6))}</ul></div><div class=x>{words(8)}</div><div class=y><h1>T{i}</h1><p>{t}</p></div><div class=z>Our site. {words(3)}</div></body>" for i, t in enumerate(texts)]
+    want = [f"T{i}\n\n{t}" for i, t in enumerate(texts)]
+    assert html_x.extract_group(pages) == want
+    assert sum(a != b for a, b in zip(html_x.extract_group(pages, induce=False), want)) >= 5
+
+
+def test_names_and_hidden_elements():
+    assert html_x.noise_names("share-price") == html_x.noise_names("search-results") == html_x.noise_names("article-body shareholder") == frozenset()
+    assert html_x.noise_names("share-buttons ad-slot-3 post-comments") >= {"share", "ad", "comments"}
+    page = "<article><p>One</p><div class='share-price'>Price 3</div><div class=search-results>Found 4</div><div hidden>no</div><div style='color:red; display : none'>no</div><p data-hidden=1>Two</p><div class='share-links'>no</div></article>"
+    assert html_x.extract_group([page]) == ["One\n\nPrice 3\n\nFound 4\n\nTwo"]
+
+
+def test_wide_pages_are_linear():
+    import time
+
+    wide = lambda n, k: "<article>" + "".join(f"<p>a{i}{k}</p><ul><li>b{i}</ul>" for i in range(n)) + f"<table><td>{k}</table></article>"
+    took = []
+    for n in (2000, 8000):
+        began = time.process_time()
+        got = html_x.extract_group([wide(n, k) for k in range(2)] + [wide(n - 1, 3)])
+        took.append(time.process_time() - began)
+        assert len(got[0].split("\n\n")) == 2 * n + 1
+    assert took[1] < 8 * took[0]
+
+
 # ---- 3
 
 
@@ -160,6 +251,20 @@ def test_typed_parts(spark):
     assert r["n_attachment_tokens"] == 1593 and [tuple(t) for t in r["ts"]] == [("user", "see <|end|>"), ("assistant", "")]
 
 
+@given(st.lists(st.sampled_from(["<", "|", "end", "|>", "<|end|><", "|start|>assistant<", "|body|>evil", "\\", "[", "INST]", "/s>", chat.MARK, "+image:0:1", "-", None]), max_size=8), st.sets(st.integers(0, 8), max_size=3))
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_no_control_string_from_several_parts(spark, texts, images):
+    """However a text is cut into parts, and wherever attachments stand between, the turn comes back as it was."""
+    parts = []
+    for i, t in enumerate(texts):
+        parts += [("image", "<|end|>", "r", 1, 1, None, None)] * (i in images) + [("text", t, None, None, None, None, None)]
+    df = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", [("text", "fine", None, None, None, None, None)])], f"conv_id bigint, turn bigint, role string, parts array<{chat.PART}>")
+    r = chat.format_conversations(df, "parts").select("*", chat.parse_formatted(F.col("formatted")).alias("ts")).first()
+    assert [tuple(t) for t in r["ts"]] == [("user", "".join(t or "" for t in texts)), ("assistant", "fine")]
+    n = sum(i in images for i in range(len(texts)))
+    assert [a["index"] for a in r["attachments"]] == list(range(n)) and len(re.findall(r"<\|image:[0-9]+:1\|>", r["formatted"])) == n
+
+
 # ---- 4
 
 
@@ -178,14 +283,33 @@ def test_exact_dedup(edge, empty, limit):
     assert exact_dedup(empty, broadcast_limit_bytes=limit).count() == 0
 
 
-def test_nearly_all_rows_pass_the_filter_untouched(spark):
-    from granary.llm.exact_dedup import seen_again
+def test_rows_that_pass_the_filter_never_move(spark):
+    from granary.llm import exact_dedup as dedup
+
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 50_000).cast("string")).alias("text"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for limit in (64 << 20, 4096 * 2):  # 10,000 texts repeat: five segments, in three scans with the smaller limit
+            probed = dedup.possibly_repeated(docs, broadcast_limit_bytes=limit)
+            plan = probed._jdf.queryExecution().executedPlan().toString()
+            assert not re.search(r"(?<!Broadcast)Exchange", plan) and plan.count("BroadcastHashJoin") == (1 if limit > 1 << 20 else 3)
+            r = probed.agg(F.count(F.lit(1)).alias("n"), F.count_if("_maybe").alias("maybe")).first()
+            assert r["n"] == 60_000 and 20_000 <= r["maybe"] < 20_800
+            r = dedup.exact_dedup(docs, broadcast_limit_bytes=limit).agg(F.count_if(F.col("kept")).alias("kept"), F.max("group_size").alias("most")).first()
+            assert (r["kept"], r["most"]) == (50_000, 2)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
-    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), (F.col("id") - F.when(F.col("id") < 10, F.col("id")).otherwise(0)).cast("string")).alias("text"))
-    r = exact_dedup(docs).agg(F.count_if(F.col("kept")).alias("kept"), F.max("group_size").alias("most")).first()
-    assert (r["kept"], r["most"]) == (19_991, 10)
-    bits = seen_again(docs, "text", 1 << 19, 2).select(F.sum(F.bit_count(F.lit(1)))).first()[0]
-    assert bits <= 32
+
+def test_ties_are_decided_by_content(spark):
+    docs = spark.createDataFrame([(1, "t", c) for c in "abcab"] + [(2, "u", None), (2, "u", None), (1, "u", "z"), (None, "v", "p"), (None, "v", "q")], "doc_id bigint, text string, extra string")
+    def kept(df):
+        return sorted(((r[0], r[1], r[2]) for r in exact_dedup(df).filter("kept").select("_row.doc_id", "_row.text", "_row.extra").collect()), key=str)
+
+    first = kept(docs)
+    assert [x[:2] for x in first] == [(1, "t"), (2, "u"), (None, "v")] and all(kept(docs.repartition(n)) == first for n in (1, 3))
+    assert exact_dedup(docs).count() == 10
 
 
 # ---- 5
@@ -198,16 +322,63 @@ def test_base_patterns():
 
 
 def test_markov_on_held_out_samples():
-    models = sec.train(sec.labelled_samples(11))
-    held = sec.labelled_samples(seed=77, n=800)
-    hit = [(sec.llr(models, s) >= 0.6) == bool(y) for s, y in held]
+    evidence = sec.train(sec.labelled_samples(11))
+    hit = [bool(sec.model_spans(s, evidence)) == bool(y) for s, y in sec.labelled_samples(seed=77, n=800)]
     assert np.mean(hit) > 0.99
 
 
+def test_markov_on_held_out_documents():
+    """Fitted on a part of the documents, the models alone find the secrets of the others, and nothing else."""
+    rows = duckdb.sql("SELECT text FROM '/root/testdata/sf0.1/documents.parquet' ORDER BY hash(doc_id)").fetchall()
+    texts = [t or "" for (t,) in rows]
+    evidence = sec.train(sec.labelled_samples(), sum(sec.labelled_counts(t) for t in texts[:2000]))
+    planted = found = spans = wrong = 0
+    for t in texts[2000:]:
+        base, got = sec.base_spans(t), sec.model_spans(t, evidence)
+        planted += sum(k == 0 for _, k, _ in base)
+        found += sum(any(u < end and start < v for u, _, v in got) for start, k, end in base if k == 0)
+        spans += len(got)
+        wrong += sum(not any(u < end and start < v for start, _, end in base) for u, _, v in got)
+    assert planted > 100 and found >= 0.98 * planted and wrong <= 0.02 * spans
+
+
+def test_stretches_against_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        bits = rng.normal(size=30)
+        got = sec.stretches(bits, 5, 2.0)
+        best = max(((bits[a:b].sum(), -a, -b) for a in range(30) for b in range(a + 1, 31)))
+        assert bool(got) == (best[0] >= 2) and (not got or abs(bits[got[0][0] - 5 : got[0][1] - 5].sum() - best[0]) < 1e-9)
+
+
+BASE_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), kinds(k, kind, p, least) AS (VALUES
+  (0, 'assign', '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']? *[:=] *["'']?[A-Za-z0-9+/_.=-]+', 8),
+  (1, 'access', 'AKIA[A-Z0-9]+', 16), (2, 'hex', '[0-9a-f]+', 32)
+), m AS (SELECT doc_id, k, kind, least, regexp_extract_all(t, p) AS found, regexp_split_to_array(t, p) AS gaps FROM d, kinds),
+x AS (SELECT doc_id, k, kind, least, i, found[i] AS s, list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(found[1:i-1], lambda f: length(f))), 0) AS start FROM m, LATERAL (SELECT unnest(range(1, len(found) + 1)) AS i)),
+ok AS (SELECT *, start + length(s) AS stop FROM x WHERE length(CASE WHEN k = 0 THEN regexp_extract(s, '^[A-Za-z_]+?["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)$', 1) ELSE s END) >= least)
+SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
+  sha256(coalesce(string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, k), '')) AS base_sha256
+FROM (SELECT doc_id FROM documents) LEFT JOIN ok USING (doc_id) GROUP BY doc_id
+"""
+
+
+def test_base_columns_against_sql(spark):
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    want = sorted((a, int(b or 0), int(c or 0), int(d or 0), e) for a, b, c, d, e in con.sql(BASE_SQL).fetchall())
+    got = Q.op5_secret_scan(spark, folder)
+    assert sorted(tuple(r) for r in got.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256").collect()) == want
+    assert got.filter("spans LIKE '%markov%'").count() > 0
+
+
 def test_secrets(edge, empty, spark):
-    docs = table(spark, [(1, "key Zx9Qw7Lk2Vb8Nm4Tr6Yp1Hs5 and my_long_identifier_name_2024_value", "a"), (2, None, "a")])
+    docs = table(spark, [(1, "key Zx9Qw7Lk2Vb8Nm4Tr6Yp1Hs5 and my_long_identifier_name_2024_value", "a"), (2, None, "a"), (3, "see lib/path/Zx9Qw7Lk2Vb8Nm4Tr6Yp1Hs5 or kQzXvBnMwRtYpLdFgHsJcUiOeA", "a")])
     got = {r[0]: [tuple(x) for x in r[1]] for r in sec.scan_secrets(docs).collect()}
-    assert got == {1: [("markov", 4, 28)], 2: []}
+    assert got[2] == [] and got[1] == [("markov", 4, 28)]
+    assert [k for k, _, _ in got[3]] == ["markov"] * 2 and all(abs(a - b) <= 2 for (_, u, v), w in zip(got[3], [(13, 37), (41, 67)]) for a, b in zip((u, v), w))
     assert sec.scan_secrets(edge).count() == 12 and sec.scan_secrets(empty).count() == 0
 
 
@@ -258,6 +429,26 @@ def test_search(spark, empty):
         search(huge, huge).collect()
 
 
+def test_essential_terms_follow_the_threshold(monkeypatch):
+    from granary.llm import maxscore as M
+
+    monkeypatch.setattr(M, "BLOCK", 512)
+    monkeypatch.setattr(M, "STEP", 8)
+    rng = np.random.default_rng(0)
+    columns = np.floor(1024 * rng.normal(size=(32, 6000)) * np.linspace(0.1, 2, 32)[:, None])
+    query = np.floor(1024 * rng.normal(size=32))
+    work = []
+    got = M.top_k(np.arange(6000), columns, -1, query, 10, work=work)
+    score = query @ columns
+    assert got == [(int(i), int(score[i])) for i in np.lexsort((np.arange(6000), -score))[:10]]
+    splits = [s for _, s, _ in work]
+    assert splits[0] == 32 and all(a >= b for a, b in zip(splits, splits[1:])) and splits[-1] < 16
+    assert sum(made for _, _, made in work) < 0.7 * 32 * 6000
+    # Ids may repeat; a threshold that nothing can reach ends the search.
+    assert M.top_k(np.array([3, 3, 1]), np.array([[1.0, 1.0, 1.0]]), 1, np.array([2.0]), 2) == [(3, 2), (3, 2)]
+    assert M.essential_terms(np.array([9.0, 5.0, 2.0, 0.0]), -4.0, 1.0) == 2 and M.essential_terms(np.array([9.0, 5.0, 2.0, 0.0]), -4.0, None) == 3
+
+
 # ---- 8
 
 
@@ -271,7 +462,8 @@ def test_sentencepiece_parity():
     texts += ["".join(rng.choices("abc  \n▁é日😀THE", k=rng.randint(1, 200))) for _ in range(200)]
     got = codec.encode(texts)
     assert [g.tolist() for g in got] == sp.encode(texts)
-    assert all(codec.round_trips(t, g.tolist()) for t, g in zip(texts, got))
+    # A marker in the text comes back as a space, which is reported.
+    assert all(codec.round_trips(t, g.tolist()) == (spm.META not in t) for t, g in zip(texts, got))
     assert [codec.decode(g.tolist()) for g in got] == [sp.decode(g.tolist()) for g in got]
 
 
@@ -308,6 +500,7 @@ def test_encode_documents(edge, empty, spark):
     got = spm.encode_documents(edge, Q.SENTENCEPIECE_MODEL)
     rows = got.collect()
     assert len(rows) == 12 and all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in rows)
+    assert sorted(r["decoded_sha256"] for r in rows) == sorted(hashlib.sha256((r["text"] or "").encode()).hexdigest() for r in edge.collect())
     text = {r["doc_id"]: r["text"] for r in spm.decode_documents(got, Q.SENTENCEPIECE_MODEL).collect()}
     assert text[9] == "🦀 <|end|> " and text[3] == ""
     assert spm.encode_documents(empty, Q.SENTENCEPIECE_MODEL).count() == 0
@@ -450,6 +643,15 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (103, 101), (7, 7)]
     got = dict(tuple(r) for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
     assert got == {i: 1 for i in range(1, 41)} | {100: 100, 101: 100, 103: 100}
+    # Many partitions, so that no task sees a whole component; two parents of a node; repeated edges.
+    rng = random.Random(2)
+    odd = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(500 + i, 501 + i) for i in range(60)] + [(900, 901), (900, 902), (900, 901)]
+    up = {x: x for e in odd for x in e}
+    for a, b in odd:
+        old, new = max(up[a], up[b]), min(up[a], up[b])
+        up = {k: new if v == old else v for k, v in up.items()}
+    rows = [tuple(r) for r in connected_components(spark.createDataFrame(odd, "a bigint, b bigint").repartition(40)).collect()]
+    assert len(rows) == len(dict(rows)) and dict(rows) == {k: v for k, v in up.items() if any(a != b and k in (a, b) for a, b in odd)}
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
@@ -487,6 +689,34 @@ def test_remove_repeats(spark, edge, empty, crowded, monkeypatch):
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
 
 
+def test_radix_groups_against_brute_force():
+    from granary.llm import suffix_dedup as S
+
+    rng = np.random.default_rng(9)
+    for depth in (3, 8, 11, 50):
+        for alphabet in (1, 2, 4):
+            buf = rng.integers(97, 97 + alphabet, 400).astype(np.uint8)
+            at = np.sort(rng.choice(400 - depth + 1, 200, replace=False))
+            bucket = rng.integers(0, 2, 200)
+            left, group = S.radix_groups(buf, at, bucket, depth)
+            by = {}
+            for i, (a, b) in enumerate(zip(at.tolist(), bucket.tolist())):
+                by.setdefault((b, buf[a : a + depth].tobytes()), []).append(i)
+            want = [sorted(v) for _, v in sorted(by.items()) if len(v) > 1]
+            assert [sorted(left[group == g].tolist()) for g in np.unique(group)] == want
+    assert S.radix_groups(np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64), 50)[0].tolist() == []
+
+
+def test_remove_repeats_with_extreme_ids(spark):
+    """Repeated ids and ids at the ends of their type come back as they are."""
+    t = "x" * 30 + "a long passage that two of the documents share, word for word, to its end" + "y" * 30
+    for more in ([], [(2**63 - 1, t), (2**62 + 5, "z" + t), (-(2**63), "short")]):
+        rows = [(2**63 - 1, t), (-(2**63), "q" + t), (4611686018427387909, t[:90]), (0, t[20:]), *more]
+        got = sorted((r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), bytes(r["kept"])) for r in remove_repeats(table(spark, [(i, x, "a") for i, x in rows]).repartition(3)).collect())
+        want = sorted((i, n, cut, kept) for (i, n, cut), each in brute_cut(rows, 50).items() for kept in each)
+        assert got == want
+
+
 def test_remove_repeats_edges(edge, empty):
     got = remove_repeats(edge).collect()
     by = {r["doc_id"]: r for r in got if r["doc_id"] not in (None, 7)}
@@ -575,6 +805,64 @@ def test_near_dedup_is_by_similarity(spark, monkeypatch, shingles):
     assert fps.count() - coarse < len(want) - 1
 
 
+def test_pipeline_against_brute_force(spark):
+    """Each stage's rows, from what its predecessor kept, against a plain version over all rows of the smallest tables."""
+    import sentencepiece
+
+    import corpus_pipeline as P
+
+    folder = "/root/testdata/sf0.001"
+    docs = P.materialize(P.quality(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder), "q")
+    rows = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    labels = duckdb.sql(f"SELECT doc_id, quality, toxic FROM '{folder}/labels.parquet'").fetchall()
+    assert sum(i in rows for i, q, t in labels if q == 1 and t == 0) >= 0.95 * sum(q == 1 and t == 0 for _, q, t in labels)
+
+    docs = P.materialize(P.exact(spark, docs, folder), "e")
+    last = {}
+    for i, t in sorted(rows.items()):
+        last[t] = i
+    assert sorted(r["doc_id"] for r in docs.collect()) == sorted(last.values())
+
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for t, i in last.items() for w in [t.encode().lower().split()]}
+    up = {i: i for i in sets}
+    order = sorted(sets)
+    for n, i in enumerate(order):
+        for j in order[n + 1 :]:
+            a, b = sets[i], sets[j]
+            if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) / len(a | b) >= 0.8:
+                old, new = max(up[i], up[j]), min(up[i], up[j])
+                up = {k: new if v == old else v for k, v in up.items()}
+    docs = P.materialize(P.near(spark, docs, folder), "n")
+    assert sorted(r["doc_id"] for r in docs.collect()) == [i for i in order if up[i] == i]
+
+    left = docs.toPandas()
+    con = duckdb.connect()
+    con.register("documents", left)
+    want = sorted((r[0], r[1]) for r in con.sql(f"SELECT doc_id, copy FROM ({Q.OP6_SQL})").fetchall())
+    docs = P.materialize(P.mix(spark, docs, folder), "m")
+    assert sorted(r["doc_id"] for r in docs.collect()) == [i for i, _ in want]
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=Q.SENTENCEPIECE_MODEL)
+    texts = dict(zip(left["doc_id"], left["text"]))
+    for r in P.tokens(spark, docs, folder).collect():
+        assert r["ids"] == lib.encode(texts[r["doc_id"]] or "") and r["round_trip"]
+
+
+def test_pipeline_stages_with_odd_rows(spark, edge, empty):
+    """Nulls, ties, repeated ids and clashing columns go through every stage; all but the last keep the columns."""
+    import corpus_pipeline as P
+
+    docs, counts = edge, []
+    for name, stage in P.STAGES:
+        out = P.materialize(stage(spark, docs, "/root/testdata/sf0.001"), name)
+        if name != "tokens":
+            assert out.columns == edge.columns and out.dtypes == edge.dtypes
+        counts.append(out.count())
+        docs = out if name in ("exact_dedup", "near_dedup") or name == "mix" else docs if name == "quality" else out
+    # Of 12 rows seven texts are different (null equals empty), of which the long two are near copies, and so are the two without words.
+    assert counts[1:3] == [7, 5]
+
+
 def test_near_dedup_goes_by_rows(spark):
     """Rows that share an id are dropped each for its own text; of equal rows one stays."""
     import corpus_pipeline as P
