@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from granary.functions.edits import near_duplicate
 from granary.plans import catalog as C
 from granary.plans import queries as Q
 from granary.plans import report as R
@@ -140,3 +141,14 @@ def test_upper_case_of_edits_is_one_for_one(spark, duck, tmp_path):
     df = Q.near_duplicate_texts(spark, str(tmp_path))
     r = duck.execute(Q.SQL["near_duplicate_texts"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'"))
     assert table(df.columns, [tuple(x) for x in df.collect()]) == table([d[0] for d in r.description], r.fetchall())
+
+
+def test_copies_edited_in_case_only_have_equal_signatures(spark, duck, tmp_path):
+    """Texts of two words: upper case keeps the whole signature, so similarity shows which mapping was used."""
+    spark.createDataFrame([(i, "de", "große Straße") for i in range(300)], "doc_id bigint, lang string, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    df = Q.minhash_edited_copies(spark, str(tmp_path))
+    got = [tuple(r) for r in df.select("doc_id", "jaccard").collect()]
+    near = {r["doc_id"] for r in spark.createDataFrame([(i,) for i in range(300)], "doc_id bigint").select("doc_id", near_duplicate(F.lit("große Straße"), "doc_id", edits=2).alias("t")).collect() if r["t"] != "große Straße" and r["t"].lower() == "große straße"}
+    assert near and all(j == 1.0 for i, j in got if i in near)
+    r = duck.execute(Q.SQL["minhash_edited_copies"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'", 1).replace("(SELECT 2 * doc_id AS doc_id, lang, text FROM documents UNION ALL SELECT 2 * doc_id + 1, lang, edited.text FROM edited JOIN documents USING", f"(SELECT 2 * doc_id AS doc_id, lang, text FROM '{tmp_path}/documents.parquet/*.parquet' UNION ALL SELECT 2 * doc_id + 1, lang, edited.text FROM edited JOIN '{tmp_path}/documents.parquet/*.parquet' USING"))
+    assert sorted(map(repr, got)) == sorted(repr(tuple(x)) for x in r.fetchall())
