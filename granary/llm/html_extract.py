@@ -12,9 +12,10 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Generator, Iterator, Sequence
+from itertools import zip_longest
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,12 @@ from .common import materialize
 GROUP, LEAST_PAGES, LEAST_SHARE = 128, 8, 0.9
 #: Share of a block's text in links from which on it is navigation; share of the free text that the next node inwards must hold.
 LINKED, GATHERS = 0.8, 0.6
-#: Above so many pairs of children to match, runs of a label are matched in order of place, which is linear.
+#: Above so many pairs of runs to match, the table of scores is filled by rows of NumPy, to the same result.
 PAIRS = 4096
+#: Similarities of shapes held at a time, 16 times as many in arrays (others are computed again), and the score of a cell that no match passes.
+KNOWN, NEVER = 1 << 20, -(1 << 60)
+#: Shapes with at most so many runs of children are compared with many others at once.
+SHORT = 64
 #: Texts of nodes are compared by length and value modulo this prime, so that those of nested nodes need not be held.
 PRIME = (1 << 128) - 159
 
@@ -269,88 +274,244 @@ def _wrapper_runs(nodes: list[Wrapper]) -> list[list[Wrapper]]:
     return out
 
 
+#: A run of siblings: label, shape of the first, number.  The matching of two lists of runs: pairs of places, None for a run that stands alone.
+Run = tuple[str, int, int]
+Pairs = list[tuple[int | None, int | None]]
+
+
 class Matcher:
-    """Simple tree matching of a page against a wrapper, at any depth; scores of pairs are kept while the page is aligned."""
+    """Simple tree matching of a page against a wrapper, at any depth and width.
+
+    Trees with the same labels in the same places have one shape (a number), and the similarity of two shapes is computed once.  Computations that
+    need others first are generators on a stack of their own: they yield the pairs of shapes they wait for.
+    """
 
     def __init__(self):
+        self.shapes: dict[tuple[str, tuple[Run, ...]], int] = {}
+        self.kids: list[tuple[Run, ...]] = []
+        self.size: list[int] = []
+        self.of: dict[int, int] = {}
         self.known: dict[tuple[int, int], int] = {}
 
-    def similarity(self, w: Wrapper, x: Node) -> int:
-        """Nodes of equal label count one, plus the best order-preserving match of their children."""
-        todo = [(w, x)]
+    def shape(self, x: Wrapper | Node) -> int:
+        todo = [x]
         while todo:
-            w_, x_ = todo[-1]
-            key = id(w_), id(x_)
-            if key in self.known:
+            y = todo[-1]
+            if id(y) in self.of:
                 todo.pop()
                 continue
-            left, right = _wrapper_runs(w_.children), _runs(_kids(x_))
-            missing = [(a[0], b[0]) for a, b in self.candidates(left, right) if (id(a[0]), id(b[0])) not in self.known]
+            runs = _wrapper_runs(y.children) if isinstance(y, Wrapper) else _runs(_kids(y))
+            missing = [r[0] for r in runs if id(r[0]) not in self.of]
             if missing:
                 todo += missing
                 continue
-            self.known[key] = 1 + sum(self.known[id(a[0]), id(b[0])] * min(len(a), len(b)) for a, b in self.matched(left, right) if a and b)
+            kids = tuple((r[0].label, self.of[id(r[0])], len(r)) for r in runs)
+            s = self.shapes.setdefault((y.label, kids), len(self.kids))
+            if s == len(self.kids):
+                self.kids.append(kids)
+                self.size.append(1 + sum(self.size[k] * n for _, k, n in kids))
+            self.of[id(y)] = s
             todo.pop()
-        return self.known[id(w), id(x)]
-
-    @staticmethod
-    def forced(left: list[list[Wrapper]], right: list[list[Node]]) -> bool:
-        labels = [a[0].label for a in left]
-        return len(set(labels)) == len(labels) and labels == [b[0].label for b in right]
+        return self.of[id(x)]
 
-    @staticmethod
-    def candidates(left: list[list[Wrapper]], right: list[list[Node]]) -> list[tuple[list[Wrapper], list[Node]]]:
-        """Pairs of runs whose similarity the match needs; where labels are the same and each stands once, they leave no choice."""
-        if Matcher.forced(left, right):
-            return list(zip(left, right))
-        if len(left) * len(right) > PAIRS:
-            return [(a, b) for a, b in Matcher.by_place(left, right) if a and b]
-        return [(a, b) for a in left for b in right if a[0].label == b[0].label]
+    def similarity(self, w: Wrapper, x: Node) -> int:
+        """Nodes of equal label count one, plus the best order-preserving match of their children."""
+        return self._run(self._similarity(self.shape(w), self.shape(x)))
+
+    def _run(self, first: Generator):
+        stack, pairs, value = [first], [], None
+        while True:
+            try:
+                pair = stack[-1].send(value)
+            except StopIteration as e:
+                stack.pop()
+                if not stack:
+                    return e.value
+                value = e.value
+                if len(self.known) >= KNOWN:
+                    self.known.clear()
+                self.known[pairs.pop()] = value
+                continue
+            value = self.known.get(pair)
+            if value is None:
+                stack.append(self._similarity(*pair))
+                pairs.append(pair)
+
+    def _similarity(self, s: int, t: int) -> Generator:
+        if s == t:
+            return self.size[s]
+        if not self.kids[s] or not self.kids[t]:
+            return 1
+        return 1 + (yield from self._match(self.kids[s], self.kids[t], False))[0]
 
     @staticmethod
-    def by_place(left: list[list[Wrapper]], right: list[list[Node]]) -> list[tuple[list[Wrapper], list[Node]]]:
-        """Each run of the page meets the next run of its label in the wrapper."""
-        places: dict[str, list[int]] = {}
-        for i, a in enumerate(left):
-            places.setdefault(a[0].label, []).append(i)
-        at, out = 0, []
-        for b in right:
-            own = places.get(b[0].label, [])
-            k = bisect_left(own, at)
-            if k == len(own):
-                out.append(([], b))
-                continue
-            out += [(a, []) for a in left[at : own[k]]]
-            out.append((left[own[k]], b))
-            at = own[k] + 1
-        return out + [(a, []) for a in left[at:]]
+    def forced(left: list[str], right: list[str]) -> bool:
+        """Where labels are the same and each stands once, they leave no choice."""
+        return left == right and len(set(left)) == len(left)
 
     def matched(self, left: list[list[Wrapper]], right: list[list[Node]]) -> list[tuple[list[Wrapper], list[Node]]]:
         """The best match of two lists of runs in order; a run without partner stands alone."""
-        if self.forced(left, right):
-            return list(zip(left, right))
+        names = [a[0].label for a in left], [b[0].label for b in right]
+        if not left or not right or self.forced(*names):
+            return list(zip_longest(left, right, fillvalue=[]))
+        both = set(names[0]) & set(names[1])
+        runs = [[(r[0].label, self.shape(r[0]) if r[0].label in both else -1, len(r)) for r in side] for side in (left, right)]
+        pairs = self._run(self._match(*runs, True))[1]
+        return [([] if i is None else left[i], [] if j is None else right[j]) for i, j in pairs]
+
+    def _match(self, left: Sequence[Run], right: Sequence[Run], path: bool) -> Generator:
+        """Score of the best match and, if asked for, its pairs.  Long lists are matched to the same result by rows of NumPy."""
         n, m = len(left), len(right)
+        known, size = self.known, self.size
+        if self.forced([a[0] for a in left], [b[0] for b in right]):
+            total = 0
+            for (_, s, p), (_, t, q) in zip(left, right):
+                total += (size[s] if s == t else known.get((s, t)) or (yield s, t)) * min(p, q)
+            return total, None
         if n * m > PAIRS:
-            return self.by_place(left, right)
-        score = [[0] * (m + 1) for _ in range(n + 1)]
-        for i, a in enumerate(left, 1):
-            for j, b in enumerate(right, 1):
-                best = max(score[i - 1][j], score[i][j - 1])
-                if a[0].label == b[0].label:
-                    best = max(best, score[i - 1][j - 1] + self.similarity(a[0], b[0]) * min(len(a), len(b)))
-                score[i][j] = best
-        i, j, out = n, m, []
-        while i or j:
-            if i and j and left[i - 1][0].label == right[j - 1][0].label and score[i][j] > max(score[i - 1][j], score[i][j - 1]):
+            return (yield from self._match_long(left, right, path))
+        score = [[0] * (m + 1)]
+        for label, s, p in left:
+            above, row, best = score[-1], [0], 0
+            for j, (other, t, q) in enumerate(right, 1):
+                if above[j] > best:
+                    best = above[j]
+                if label == other:
+                    best = max(best, above[j - 1] + (size[s] if s == t else known.get((s, t)) or (yield s, t)) * min(p, q))
+                row.append(best)
+            score.append(row)
+        return score[n][m], self._back(n, 0, m, lambda i, j: score[i][j])[0][::-1] if path else None
+
+    @staticmethod
+    def _back(i: int, top: int, j: int, score: Callable[[int, int], int]) -> tuple[Pairs, int]:
+        """The pairs of a best match, from row i up to row top, last one first, and the place reached in the other list.  Runs stand alone where that costs nothing."""
+        out: Pairs = []
+        while i > top or not top and j:
+            if i and j and score(i, j) > max(score(i - 1, j), score(i, j - 1)):
                 i, j = i - 1, j - 1
-                out.append((left[i], right[j]))
-            elif i and (not j or score[i - 1][j] >= score[i][j - 1]):
+                out.append((i, j))
+            elif i and (not j or score(i - 1, j) >= score(i, j - 1)):
                 i -= 1
-                out.append((left[i], []))
+                out.append((i, None))
             else:
                 j -= 1
-                out.append(([], right[j]))
-        return out[::-1]
+                out.append((None, j))
+        return out, j
+
+    def _with_many(self, s: int, places: np.ndarray, counts: np.ndarray, inner: dict[tuple[str, int], int]) -> Generator:
+        """Similarities of a shape to many at once, all with few children."""
+        used = set(np.unique(places).tolist())
+        score = np.zeros((len(places), places.shape[1] + 1), np.int64)
+        for label, k, p in self.kids[s]:
+            worth = np.zeros(len(inner) + 1, np.int64)
+            for (other, t), c in inner.items():
+                if other == label and c in used:
+                    worth[c] = self.size[k] if k == t else self.known.get((k, t)) or (yield k, t)
+            score[:, 1:] = np.maximum.accumulate(np.maximum(score[:, 1:], score[:, :-1] + worth[places] * np.minimum(counts, p)), axis=1)
+        return 1 + score[:, -1]
+
+    def _match_long(self, left: Sequence[Run], right: Sequence[Run], path: bool) -> Generator:
+        """The same by the rows of the table, each only as far as a best match can pass.
+
+        No match is better than the sums of what each run could add at most.  A cell that these sums keep below ``aim`` is on no match that reaches it, so if the
+        best match within the other cells reaches it, that is the best of all, ties included.  Else the aim is lowered, to zero if need be: then all cells count.
+        """
+        n, m = len(left), len(right)
+        most: list[dict[str, int]] = [{}, {}]
+        for side, runs in zip(most, (left, right)):
+            for label, s, k in runs:
+                if s >= 0:
+                    side[label] = max(side.get(label, 0), self.size[s] * k)
+        before = []
+        for runs, other in ((left, most[1]), (right, most[0])):
+            before.append(np.cumsum([0, *(min(self.size[s] * k, other.get(label, 0)) if s >= 0 else 0 for label, s, k in runs)]))
+        pl, pr = before
+        total = int(min(pl[-1], pr[-1]))
+        if n == m and all(a[0] == b[0] for a, b in zip(left, right)):
+            straight = 0
+            for (_, s, p), (_, t, q) in zip(left, right):
+                straight += (self.size[s] if s == t else self.known.get((s, t)) or (yield s, t)) * min(p, q)
+            if straight == total:
+                return total, [(i, i) for i in range(n)] if path else None
+        codes: dict[tuple[str, int], int] = {}
+        code = np.array([codes.setdefault(b[:2], len(codes)) for b in right])
+        shapes = [t for _, t in codes]
+        many = np.array([b[2] for b in right], np.int64)
+        # Similarities of a shape on the left to all on the right: 0 for other labels, -1 for those not asked for yet.
+        rows: dict[int, np.ndarray] = {}
+        by_label: dict[str, list[int]] = {}
+        for (label, _), c in codes.items():
+            by_label.setdefault(label, []).append(c)
+
+        # The children of shapes with few of them, as numbers into their distinct runs' shapes; 0 is none.
+        is_short = np.array([t >= 0 and len(self.kids[t]) <= SHORT for t in shapes])
+        width = max((len(self.kids[t]) for t, few in zip(shapes, is_short) if few), default=0)
+        places, counts = np.zeros((len(shapes), width), np.int32), np.zeros((len(shapes), width), np.int64)
+        inner: dict[tuple[str, int], int] = {}
+        for c in np.flatnonzero(is_short).tolist():
+            for x, kid in enumerate(self.kids[shapes[c]]):
+                places[c, x], counts[c, x] = inner.setdefault(kid[:2], len(inner) + 1), kid[2]
+
+        def next_row(i: int, above: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Generator:
+            label, s, k = left[i - 1]
+            a, b, a0, b0 = int(lo[i]), int(hi[i]), int(lo[i - 1]), int(hi[i - 1])
+            row = np.full(b - a + 1, NEVER, np.int64)
+            x, y = max(a, a0), min(b, b0)
+            if x <= y:
+                row[x - a : y + 1 - a] = above[x - a0 : y + 1 - a0]
+            x, y = max(a, a0 + 1), min(b, b0 + 1)
+            if s >= 0 and x <= y:
+                sims = rows.get(s)
+                if sims is None:
+                    if len(rows) * len(shapes) >= 16 * KNOWN:
+                        rows.clear()
+                    sims = rows[s] = np.zeros(len(shapes), np.int32)
+                    sims[by_label.get(label, [])] = -1
+                own = code[x - 1 : y]
+                found = sims[own]
+                if found.min() < 0:
+                    missing = np.unique(own[found < 0])
+                    short = missing[is_short[missing]]
+                    if len(short) and len(self.kids[s]) <= SHORT:
+                        sims[short] = yield from self._with_many(s, places[short], counts[short], inner)
+                    for c in missing[sims[missing] < 0].tolist():
+                        t = shapes[c]
+                        sims[c] = self.size[s] if s == t else self.known.get((s, t)) or (yield s, t)
+                    found = sims[own]
+                part = row[x - a : y + 1 - a]
+                np.maximum(part, above[x - 1 - a0 : y - a0] + found * np.minimum(many[x - 1 : y], k), out=part)
+            return np.maximum.accumulate(row)
+
+        step, gap = isqrt(n), 0
+        while True:
+            aim = max(total - gap, 0)
+            lo = np.searchsorted(pr, aim - (pl[-1] - pl), "left")
+            hi = np.searchsorted(pr, pr[-1] - aim + pl, "right") - 1
+            if (lo <= hi).all():
+                now, kept = np.zeros(int(hi[0]) + 1, np.int64), {}
+                for i in range(n + 1):
+                    if i:
+                        now = yield from next_row(i, now, lo, hi)
+                    if path and i % step == 0:
+                        kept[i] = now
+                if now[-1] >= aim:
+                    break
+            gap = max(4 * gap, total // 256 + 1)
+        best = int(now[-1])
+        if not path:
+            return best, None
+        # Back from the end, a block of rows after the other, each computed again from the row kept above it.
+        out: Pairs = []
+        i, j = n, m
+        while i or j:
+            top = max(i - 1, 0) // step * step
+            block = [kept[top]]
+            for k in range(top + 1, i + 1):
+                block.append((yield from next_row(k, block[-1], lo, hi)))
+            part, j = self._back(i, top, j, lambda k, x: int(block[k - top][x - lo[k]]) if lo[k] <= x <= hi[k] else NEVER)  # noqa: B023
+            out += part
+            i = top
+        return best, out[::-1]
 
 
 def _kids(x: Node) -> list[Node]:

@@ -191,6 +191,43 @@ def test_tree_matching_against_brute_force(monkeypatch):
         assert html_x.Matcher().similarity(w, b) == best_match(w, b) == best_match(as_wrapper(b), b)
 
 
+def test_width_does_not_change_the_match(monkeypatch):
+    """The way long lists are matched gives the very match, ties included, that short lists get, whatever is held or compared at once."""
+    rng = random.Random(8)
+
+    def edited(x):
+        y = html_x.Node(x.tag)
+        y.items = [c if isinstance(c, str) else edited(c) for c in x.items if rng.random() > 0.1] + [random_tree(rng, 1) for _ in range(rng.randrange(2))]
+        return y
+
+    def places(w, b):
+        left, right = html_x._wrapper_runs(w.children), html_x._runs(html_x._kids(b))
+        return [(a and id(a[0]), x and id(x[0])) for a, x in html_x.Matcher().matched(left, right)]
+
+    for k in range(60):
+        a, b = html_x.Node("div"), html_x.Node("div")
+        a.items = [random_tree(rng, 2) for _ in range(rng.randrange(40))]
+        b.items = [edited(c) for c in a.items if rng.random() > 0.1] if k % 3 else [random_tree(rng, 2) for _ in range(rng.randrange(40))]
+        w = as_wrapper(a)
+        monkeypatch.setattr(html_x, "PAIRS", 1 << 40)
+        want = places(w, b), html_x.Matcher().similarity(w, b)
+        monkeypatch.setattr(html_x, "PAIRS", 0)
+        for short, known in ((64, 1 << 20), (2, 1 << 20), (64, 1)):
+            monkeypatch.setattr(html_x, "SHORT", short)
+            monkeypatch.setattr(html_x, "KNOWN", known)
+            assert (places(w, b), html_x.Matcher().similarity(w, b)) == want
+
+
+def test_width_does_not_change_the_text(monkeypatch):
+    """Pages of 150 blocks in any order, beyond 4,096 pairs of runs: the wrapper is the one of exact matching."""
+    rng = random.Random(1)
+    parts = ["<p>x", "<h2>t</h2>", "<ul><li>a<li>b</ul>", "<p>x <b>y</b> <a>z</a>", "<table><tr><td>1</table>", "<h3>q</h3>"]
+    pages = ["<body><div class=c>" + "".join(rng.choice(parts) for _ in range(150)) + "</div></body>" for _ in range(16)]
+    got = html_x.extract_group(pages)
+    monkeypatch.setattr(html_x, "PAIRS", 1 << 40)
+    assert got == html_x.extract_group(pages)
+
+
 def test_wrapper_alone_tells_articles(spark):
     """Without any role: class words unknown and articles, menus and footers all called div, the wrapper finds the article also where a page's advert is longer."""
     rng = random.Random(6)
