@@ -27,6 +27,11 @@ def simple_upper(c: Column | str) -> Column:
     return F.translate(column(c), _SMALL, _CAPITAL)
 
 
+def lowers_alone(c: Column | str) -> Column:
+    """The text without the two letters that ``lower()`` doesn't map one for one: Σ, which becomes ς at the end of a word and σ elsewhere, and İ, which becomes two characters."""
+    return F.replace(F.replace(column(c), F.lit("Σ"), F.lit("σ")), F.lit("İ"), F.lit("i"))
+
+
 def _draw(seed: int, key: Column, nth: int) -> Column:
     """Hex digits that depend on seed, key and number of the edit only."""
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"), F.lit(f":{nth}")).cast("binary"))

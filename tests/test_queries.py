@@ -152,3 +152,16 @@ def test_copies_edited_in_case_only_have_equal_signatures(spark, duck, tmp_path)
     assert near and all(j == 1.0 for i, j in got if i in near)
     r = duck.execute(Q.SQL["minhash_edited_copies"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'", 1).replace("(SELECT 2 * doc_id AS doc_id, lang, text FROM documents UNION ALL SELECT 2 * doc_id + 1, lang, edited.text FROM edited JOIN documents USING", f"(SELECT 2 * doc_id AS doc_id, lang, text FROM '{tmp_path}/documents.parquet/*.parquet' UNION ALL SELECT 2 * doc_id + 1, lang, edited.text FROM edited JOIN '{tmp_path}/documents.parquet/*.parquet' USING"))
     assert sorted(map(repr, got)) == sorted(repr(tuple(x)) for x in r.fetchall())
+
+
+def test_copies_of_texts_whose_lower_case_depends_on_the_place(spark, tmp_path):
+    """Σ at the end of a word and İ, in texts and through edits of case; every character by itself, too."""
+    from granary.functions.edits import lowers_alone
+
+    con, lower = duckdb.connect(), {r["c"]: r["l"].lower() for r in Q.code_points(spark).select("c", lowers_alone("c").alias("l")).collect()}
+    assert {c: l for c, l in lower.items() if c != l} == dict(con.execute("SELECT chr(i::INT), lower(chr(i::INT)) FROM range(1, 1114112) r(i) WHERE i NOT BETWEEN 55296 AND 57343 AND lower(chr(i::INT)) <> chr(i::INT)").fetchall())
+    texts = ["ο δρόμος της πόλης", "ΟΔΟΣ ΚΑΙ ΝΟΜΟΣ ΤΗΣ ΠΟΛΗΣ", "İstanbul ve İzmir Iğdır", "iki ışık", "ΑΣ.ΑΣΑ Σ ς"]
+    spark.createDataFrame([(i, "el", texts[i % len(texts)]) for i in range(500)], "doc_id bigint, lang string, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con.execute(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = [tuple(r) for r in Q.minhash_edited_copies(spark, str(tmp_path)).select("doc_id", "jaccard").collect()]
+    assert sorted(got) == sorted(con.execute(f"SELECT doc_id, jaccard FROM ({Q.SQL['minhash_edited_copies']})").fetchall())
